@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomflow.llm import quantiles, topn
+from loomflow.llm import leakage, mixing, quantiles, repetition, topn
 from loomflow.sources.tables import table
 
 SHARES = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -64,14 +64,78 @@ select dag_id, vertex_name, cast(rn as integer) as rank_no, task_attempt_id from
 """
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_passages(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak with the longest shared passage and where it starts."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leakage.leaked_passages(docs, "doc_id", "text", items, "item_id", "text", passage=12)
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, into how many documents, and the longest passage of each."""
+    return p8_passages(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
+
+
+WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+P8_FOUND_SQL = f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents where doc_id is not null),
+i as (select item_id, {WORDS_SQL} as w from eval_items where item_id is not null),
+ig as (select distinct item_id, array_to_string(w[k:k+11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
+dg as (select doc_id, array_to_string(w[k:k+11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d))
+select distinct doc_id, item_id from dg join ig using (g)
+"""
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_report(spark, sf_dir).where("short").select("source")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text", grams=[(6, 3)], lines=False)
+    return shares.where("n_words > 0 and words_6_3 * 100 >= 40 * n_words").select("doc_id")
+
+
+def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+P10_FOUND_SQL = f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents),
+g as (select doc_id, len(w) as n, k, array_to_string(w[k:k+5], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 4)) as k from d)),
+o as (select doc_id, n, k from (select *, count(*) over (partition by doc_id, g) as c from g) where c >= 3),
+p as (select distinct doc_id, n, k + j as at from o, (select unnest(range(0, 6)) as j))
+select doc_id from p group by doc_id, n having count(*) * 100 >= 40 * n
+"""
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_percentiles": p1_percentiles,
         "p1_from_days": p1_from_days,
         "p4_found": p4_found,
+        "p8_found": p8_found,
+        "p8_passages": p8_passages,
+        "p8_items": p8_items,
+        "p9_found": p9_found,
+        "p9_report": p9_report,
+        "p9_drawn": p9_drawn,
+        "p10_found": p10_found,
+        "p10_repetition": p10_repetition,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p10_found": P10_FOUND_SQL}
