@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomflow.plans import pipeline
+
 #: Modules with ``queries()`` and ``oracle_sql()``.
-MODULES: tuple = ()
+MODULES: tuple = (pipeline,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
