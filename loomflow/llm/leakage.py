@@ -100,7 +100,7 @@ def _blocks(items: DataFrame, ident: str, text: str) -> Iterator[list[tuple[obje
 
 
 def leaked_passages(
-    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, passage: int = 12, anchors: int = 2
+    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, passage: int = 12, anchors: int = 3
 ) -> DataFrame:
     """Every (document, item) that share ``passage`` successive words or more:
     (doc_id, item_id, ``n_words`` of the longest shared run, ``doc_word`` and
@@ -126,6 +126,39 @@ def leaked_passages(
     return rows.select(doc_id, item_id, F.col("__best")["n_words"].alias("n_words"), (-F.col("__best")["col2"]).alias("doc_word"), (-F.col("__best")["col3"]).alias("item_word"))
 
 
+def _intersect(index: DataFrame, plans: dict[int, list], kind: str) -> DataFrame:
+    """(doc, starts) from the index: where in a document an item may start, by word.
+
+    An anchor at word i of an item, seen at p, means the item starts at p - i; a
+    window's lists, so adjusted, are intersected from the rarest anchor on. A
+    document's postings meet in one row, which is no longer than the document.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(plans)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_rarest = shared.value
+        for batch in batches:
+            rows, found = [], []
+            for r, (terms, lists) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                have = dict(zip(terms, lists))
+                starts = set()
+                for term in terms:
+                    for item, plan in by_rarest.get(term, ()):
+                        if all(t in have for t, _ in plan):
+                            left = {p - plan[0][1] for p in have[term]}
+                            for t, at in plan[1:]:
+                                left.intersection_update([p - at for p in have[t]])
+                            starts.update((item, s) for s in left)
+                if starts:
+                    rows.append(r)
+                    found.append([{"item": i, "start": s} for i, s in sorted(starts)])
+            kinds = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, kinds)], names=["doc", "starts"])
+
+    lists = index.groupBy("doc").agg(F.collect_list(F.struct("term", "positions")).alias("p"))
+    return lists.select("doc", F.col("p.term"), F.col("p.positions")).mapInArrow(search, f"doc {kind}, starts array<struct<item:int,start:int>>")
+
+
 def _leaked_block(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, block: list, item_id: str, item_kind: str, passage: int, anchors: int) -> DataFrame | None:
     texts = [w for _, w in block]
     vocabulary = {w for t in texts if len(t) >= passage for w in t}
@@ -140,21 +173,21 @@ def _leaked_block(spark: SparkSession, docs: DataFrame, doc_id: str, text: str,
     index = postings(docs, doc_id, text, terms)
     index = materialize(index.repartition("term", F.pmod(F.xxhash64("doc"), F.lit(16))).sortWithinPartitions("term", "doc"), "leakage-index")
 
-    # Offset-adjusted lists: an anchor of item k at word i, seen at p, means the item starts at p - i.
-    wanted = spark.createDataFrame([(terms[texts[k][i]], k, i) for k, i in at_items], "term int, item int, at int")
-    hits = index.join(F.broadcast(wanted), "term").select("doc", "item", "at", F.explode("positions").alias("p"))
-    lists = hits.groupBy("doc", "item", (F.col("p") - F.col("at")).alias("start")).agg(F.collect_set("at").alias("seen"))
-    pairs = spark.createDataFrame([(k, [list(w) for w in found]) for k, found in enumerate(windows) if found], "item int, windows array<array<int>>")
-    whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("seen"))) == 0)
-    candidates = lists.where(F.size("seen") >= min(anchors, passage)).join(F.broadcast(pairs), "item").where(whole)
-    per_doc = materialize(candidates.groupBy("doc").agg(F.collect_set(F.struct("item", "start")).alias("starts")), "leakage-candidates")
+    # Offset-adjusted lists of each document, from the rarest anchor of a window on.
+    plans: dict[int, list] = {}
+    for k, found in enumerate(windows):
+        for window in found:
+            plan = sorted(((terms[texts[k][i]], i) for i in window), key=lambda x: (frequency[texts[k][x[1]]], x[1]))
+            plans.setdefault(plan[0][0], []).append((k, tuple(plan)))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    per_doc = materialize(_intersect(index, plans, kind), "leakage-candidates")
 
     # Exact check of the documents that are left.
-    small = per_doc.count() <= BROADCAST_IDS
+    sizes = per_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    small = sizes[0] + sizes[1] <= BROADCAST_IDS
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     check = source.join(F.broadcast(per_doc) if small else per_doc, "doc")
     shared = spark.sparkContext.broadcast(texts)
-    kind = docs.schema[doc_id].dataType.simpleString()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
