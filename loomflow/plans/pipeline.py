@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomflow.operators import features, heavy, intervals, packed
+from loomflow.operators import features, heavy, intervals, logs, packed
 from loomflow.sources.tables import table
 
 
@@ -44,6 +44,14 @@ select dag, eventtype from (select *, max(last_ms) over (partition by dag) as la
 """
 
 
+def p3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_lines(table(spark, sf_dir, "am_log"), with_text=True)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_lines(table(spark, sf_dir, "am_log")).drop("message")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     args = packed.unpack(table(spark, sf_dir, "am_raw_events"), "event_id", {"args": packed.argument_list(F.col("args"))})
     tables = {name: packed.table_list(F.col(name)) for name in ("tables_read", "tables_written")}
@@ -109,7 +117,7 @@ select key_field, key_value from a where key_value is not null group by 1, 2 hav
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_stats": p2_stats, "p2_features": p2_features, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_results": p7_results}
+    return {"p2_found": p2_found, "p2_stats": p2_stats, "p2_features": p2_features, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_results": p7_results}
 
 
 def oracle_sql() -> dict[str, str]:
