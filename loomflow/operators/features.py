@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.operators.skew import salted_aggregate
+from loomflow.runtime import materialize
 
 #: More event types than this are no feature columns.
 MOST_TYPES = 10_000
@@ -52,19 +53,30 @@ def event_statistics(df: DataFrame, entity: Column, kind: Column, event: Column,
         epoch_ms(time).alias("ms"),
         size.cast("long").alias("size"),
     ).where("entity is not null and entity <> '' and words is not null and event is not null and ms is not null")
-    rows = rows.withColumn("squashed", F.replace("words", F.lit("_"), F.lit("")))
-    spelt = F.max(F.struct((F.length("words") - F.length("squashed")).alias("n"), F.col("words").alias("words")))
-    events = rows.groupBy("entity", "squashed", "event").agg(F.max("ms").alias("ms"), F.max("size").alias("size"), spelt.alias("spelt"))
+    events = _one_spelling(rows).groupBy("entity", "words", "event").agg(F.max("ms").alias("ms"), F.max("size").alias("size"))
     merged = salted_aggregate(
-        events,
-        ["entity", "squashed"],
-        {"n_events": F.count(F.lit(1)), "last_ms": F.max("ms"), "total_size": F.sum(F.coalesce("size", F.lit(0))), "spelt": F.max("spelt")},
-        {"n_events": F.sum, "last_ms": F.max, "total_size": F.sum, "spelt": F.max},
+        materialize(events, "feature-events"),
+        ["entity", "words"],
+        {"n_events": F.count(F.lit(1)), "last_ms": F.max("ms"), "total_size": F.sum(F.coalesce("size", F.lit(0)))},
+        {"n_events": F.sum, "last_ms": F.max, "total_size": F.sum},
         salt_by=["event"],
         salts=salts,
     )
-    names = merged.groupBy("squashed").agg(F.max("spelt")["words"].alias("eventtype"))
-    return merged.join(names, "squashed").select("entity", "eventtype", "n_events", "last_ms", "total_size")
+    return merged.withColumnRenamed("words", "eventtype")
+
+
+def _one_spelling(rows: DataFrame) -> DataFrame:
+    """Replaces ``words`` that differ from others only in where words end. The list of
+    such spellings is broadcast up to MOST_TYPES entries, else joined by shuffle."""
+    squashed = F.replace("words", F.lit("_"), F.lit(""))
+    spelt = rows.groupBy("words").agg(F.count(F.lit(1)).alias("n")).withColumn("squashed", squashed)
+    best = spelt.groupBy("squashed").agg(F.max_by("words", F.struct(F.length("words"), "n", "words")).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    other = materialize(spelt.join(best, "squashed").where("words <> best").select(F.col("words").alias("was"), "best"), "feature-spellings")
+    found = other.count()
+    if not found:
+        return rows
+    joined = rows.join(F.broadcast(other) if found <= MOST_TYPES else other, F.col("words") == F.col("was"), "left")
+    return joined.withColumn("words", F.coalesce("best", "words")).drop("was", "best")
 
 
 def feature_table(statistics: DataFrame, prefix: str = "") -> DataFrame:
@@ -75,6 +87,7 @@ def feature_table(statistics: DataFrame, prefix: str = "") -> DataFrame:
     ``latest_ms`` are over all types. The type list is read to the driver, at most
     MOST_TYPES names, more raise an error. An empty table gives no rows.
     """
+    statistics = materialize(statistics, "feature-statistics")
     types = [r[0] for r in statistics.select("eventtype").distinct().limit(MOST_TYPES + 1).collect()]
     if len(types) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} event types")
