@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.operators.skew import salted_aggregate
+from loomflow.runtime import materialize
 
 
 def key_results(
@@ -31,6 +32,7 @@ def key_results(
         F.col("__pair.key_field").alias("__field"), F.col("__pair.key_value").alias("__value"), *df.columns
     )
     found = salted_aggregate(rows, ["__field", "__value"], {"__rows": F.count(F.lit(1)), **partial}, {"__rows": F.sum, **merge}, salt_by, salts)
+    found = materialize(found, "key-results")  # a row per key; the shares need its total
     totals = found.where(F.col("__field") == fields[0]).agg(F.sum("__rows")).scalar()
     return found.select(
         F.col("__field").alias("key_field"), F.col("__value").alias("key_value"), *[c for c in found.columns if not c.startswith("__")], F.col("__rows").alias("n_rows"), (F.col("__rows") / totals).alias("row_share")
