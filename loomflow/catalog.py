@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomflow.plans import pipeline
+from loomflow.plans import dataflow, history, pipeline
 
 #: Modules with ``queries()`` and ``oracle_sql()``.
-MODULES: tuple = (pipeline,)
+MODULES: tuple = (dataflow, history, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
