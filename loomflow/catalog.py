@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomflow.plans import dataflow, history, pipeline
+from loomflow.plans import dataflow, extensions, history, pipeline
 
 #: Modules with ``queries()`` and ``oracle_sql()``.
-MODULES: tuple = (dataflow, history, pipeline)
+MODULES: tuple = (dataflow, history, pipeline, extensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

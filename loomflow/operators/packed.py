@@ -37,8 +37,9 @@ def fold_items(field: Column, delimiters: str, keep_quotes: bool) -> Column:
     """array<string> of the items of one field, blanks around them cut, empty ones left out.
 
     ``delimiters`` goes into a character class. With ``keep_quotes`` literals stay as
-    written, else they are put in without quotes and escapes. Brackets that don't
-    close or open are ordinary characters of a level that never falls below 0.
+    written, else they are put in without quotes and escapes. A closing bracket that
+    none opened is an ordinary character; an opening one that none closes reaches to
+    the field's end.
     """
     plain = F.lit(rf"[{delimiters}]|[\[\](){{}}]|[^{delimiters}\[\](){{}}]+")
     split = F.transform(
