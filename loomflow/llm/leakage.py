@@ -126,6 +126,74 @@ def leaked_passages(
     return rows.select(doc_id, item_id, F.col("__best")["n_words"].alias("n_words"), (-F.col("__best")["col2"]).alias("doc_word"), (-F.col("__best")["col3"]).alias("item_word"))
 
 
+def proximity_matches(
+    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rarest: int = 8, least: int = 7, span: int = 60
+) -> DataFrame:
+    """Documents that hold ``least`` or more of an item's ``rarest`` rarest distinct words within
+    ``span`` successive words, in any order: (doc_id, item_id, ``n_words`` the most of
+    them in one such span, ``doc_word`` where it begins). It finds edited passages that share no
+    long run. Words that no document has aren't taken; items left with fewer than
+    ``least`` words match nothing. Nulls, empty texts and blocks as in ``leaked_passages``.
+    """
+    spark = docs.sparkSession
+    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    found: DataFrame | None = None
+    for block in _blocks(items, item_id, item_text):
+        frequency = document_frequencies(docs, text, {w for _, t in block for w in t})
+        chosen = [sorted({w for w in t if frequency.get(w)}, key=lambda w: (frequency[w], w))[:rarest] for _, t in block]
+        chosen = [c if len(c) >= least else [] for c in chosen]
+        terms = {w: n for n, w in enumerate(sorted({w for c in chosen for w in c}))}
+        if not terms:
+            continue
+        index = postings(docs, doc_id, text, terms)
+        index = materialize(index.repartition("term", F.pmod(F.xxhash64("doc"), F.lit(16))).sortWithinPartitions("term", "doc"), "proximity-index")
+        of_term: dict[int, list[int]] = {}
+        for k, c in enumerate(chosen):
+            for w in c:
+                of_term.setdefault(terms[w], []).append(k)
+        shared = spark.sparkContext.broadcast(of_term)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                rows, out = [], []
+                for r, (own, lists) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    have = dict(zip(own, lists))
+                    counts = Counter(k for t in own for k in shared.value.get(t, ()))
+                    for k, n in counts.items():
+                        if n >= least:
+                            mine = [t for t in own if k in shared.value[t]]
+                            best = _densest(sorted((p, t) for t in mine for p in have[t]), span)
+                            if best[0] >= least:
+                                rows.append(r)
+                                out.append((k, *best))
+                columns = [pa.array([x[i] for x in out], pa.int32()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["doc", "item", "n_words", "doc_word"])
+
+        lists = index.groupBy("doc").agg(F.collect_list(F.struct("term", "positions")).alias("p"))
+        near = lists.select("doc", F.col("p.term"), F.col("p.positions")).mapInArrow(search, f"doc {kind}, item int, n_words int, doc_word int")
+        names = spark.createDataFrame([(k, ident) for k, (ident, _) in enumerate(block)], f"item int, name {item_kind}")
+        part = near.join(F.broadcast(names), "item").select(F.col("doc").alias(doc_id), F.col("name").alias(item_id), "n_words", "doc_word")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], f"`{doc_id}` {kind}, `{item_id}` {item_kind}, n_words int, doc_word int")
+    return found
+
+
+def _densest(places: list[tuple[int, int]], span: int) -> tuple[int, int]:
+    """Most distinct terms within ``span`` successive words, and where the first such span begins."""
+    inside, begin, best = Counter(), 0, (0, 0)
+    for at, term in places:
+        inside[term] += 1
+        while at - places[begin][0] >= span:
+            inside[places[begin][1]] -= 1
+            if not inside[places[begin][1]]:
+                del inside[places[begin][1]]
+            begin += 1
+        if len(inside) > best[0]:
+            best = (len(inside), places[begin][0])
+    return best
+
+
 def _intersect(index: DataFrame, plans: dict[int, list], kind: str) -> DataFrame:
     """(doc, starts) from the index: where in a document an item may start, by word.
 

@@ -79,6 +79,12 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with most of an item's rarest words close together, in any order."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leakage.proximity_matches(docs, "doc_id", "text", items, "item_id", "text")
+
+
 WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 P8_FOUND_SQL = f"""
@@ -129,6 +135,7 @@ def queries() -> dict:
         "p8_found": p8_found,
         "p8_passages": p8_passages,
         "p8_items": p8_items,
+        "p8_near": p8_near,
         "p9_found": p9_found,
         "p9_report": p9_report,
         "p9_drawn": p9_drawn,

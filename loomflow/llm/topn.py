@@ -26,7 +26,8 @@ STEPS = 6
 def _coarse(score: Column) -> Column:
     """The first pass's cut points, the same for all groups: 64 per doubling of the
     score, monotone for either sign, so a group has at most some thousands."""
-    return (F.signum(score) * F.floor(F.log2(F.abs(score.cast("double")) + 1) * 64)).cast("int")
+    size = F.least(F.log2(F.abs(score.cast("double")) + 1), F.lit(1100.0))  # infinity comes last
+    return (F.signum(score) * F.floor(size * 64)).cast("int")
 
 
 def _code(ident: Column, start: Column) -> Column:
@@ -131,7 +132,7 @@ def _refine(open_rows: DataFrame, names: Sequence[str], wide: str) -> DataFrame:
 
     def interval(x: Column, lo: Column, hi: Column) -> Column:
         # halves before subtracting: the span of two longs may not fit in a long
-        place = F.floor(F.coalesce(F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2), F.lit(0.0)) * parts)
+        place = F.floor(F.nanvl(F.coalesce(F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2), F.lit(0.0)), F.lit(0.0)) * parts)
         return F.when(x >= hi, parts).when(x <= lo, F.lit(-1)).otherwise(F.greatest(F.lit(0), F.least(F.lit(parts - 1), place))).cast("int")
 
     by_score = interval(F.col("__s").cast("double"), F.col("__lo").cast("double"), F.col("__hi").cast("double"))
