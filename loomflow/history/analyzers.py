@@ -215,29 +215,30 @@ def dag_extremes(vertices: DataFrame) -> DataFrame:
 def vertex_critical_path(vertices: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
     """Per dag the path through its vertices of the greatest summed time: (dag_id, path, score).
 
-    Each round extends every vertex's best path by its successors, and keeps the
-    better one; as many rounds as the longest chain, however many paths there are.
+    Round n has, of every vertex, the best path of n steps to it; there are as many rounds
+    as the longest chain has vertices, however many paths there are.
     Ties go to the path that is greater as text.
     """
     taken = F.when((F.col("start_time") > 0) & (F.col("finish_time") >= F.col("start_time")), F.col("finish_time") - F.col("start_time")).otherwise(0)
     nodes = materialize(vertices.where("dag_id is not null").select("dag_id", "vertex_id", taken.alias("taken")), "path-nodes")
     links = materialize(edges.select("dag_id", F.col("source_vertex").alias("vertex_id"), F.col("destination_vertex").alias("to")), "path-links")
     start = nodes.join(links.select("dag_id", F.col("to").alias("vertex_id")).distinct(), ["dag_id", "vertex_id"], "left_anti")
-    front = start.select("dag_id", "vertex_id", F.col("taken").alias("score"), F.col("vertex_id").alias("path"))
-    best = materialize(front, "path-best")
-    front = best
+    front = materialize(start.select("dag_id", "vertex_id", F.col("taken").alias("score"), F.col("vertex_id").alias("path")), "path-front")
+    reached = [front]
     for _ in range(max_depth):
         step = front.join(links, ["dag_id", "vertex_id"]).select("dag_id", F.col("to").alias("vertex_id"), "score", "path")
         step = step.join(nodes, ["dag_id", "vertex_id"]).select("dag_id", "vertex_id", (F.col("score") + F.col("taken")).alias("score"), F.concat_ws(">", "path", "vertex_id").alias("path"))
-        step = step.groupBy("dag_id", "vertex_id").agg(F.max(F.struct("score", "path")).alias("b")).select("dag_id", "vertex_id", "b.*")
-        old = best.select("dag_id", "vertex_id", F.struct("score", "path").alias("old"))
-        better = step.join(old, ["dag_id", "vertex_id"], "left").where(F.col("old").isNull() | (F.struct("score", "path") > F.col("old"))).drop("old")
-        front = materialize(better, "path-front")
+        best = step.groupBy("dag_id", "vertex_id").agg(F.max(F.struct("score", "path")).alias("b"))
+        front = materialize(best.select("dag_id", "vertex_id", "b.*"), "path-front")
         if front.isEmpty():
             break
-        kept = best.join(front.select("dag_id", "vertex_id"), ["dag_id", "vertex_id"], "left_anti")
-        best = materialize(kept.unionByName(front), "path-best")
-    ends = best.join(links.select("dag_id", "vertex_id").distinct(), ["dag_id", "vertex_id"], "left_anti")
+        reached.append(front)
+    else:
+        raise RuntimeError(f"a path of more than {max_depth} vertices, or a cycle")
+    paths = reached[0]
+    for r in reached[1:]:
+        paths = paths.unionByName(r)
+    ends = paths.join(links.select("dag_id", "vertex_id").distinct(), ["dag_id", "vertex_id"], "left_anti")
     return ends.groupBy("dag_id").agg(F.max(F.struct("score", "path")).alias("b")).select("dag_id", "b.path", "b.score")
 
 
@@ -246,22 +247,28 @@ def critical_path(facts: DataFrame, edges: DataFrame, max_depth: int = 1000) ->
 
     It begins with the last attempt to end as SUCCEEDED or FAILED. An attempt waits for the one
     that caused it (`RETRY`), else for the last attempt to succeed of its source
-    vertices (`DATA`), else for nothing (`INIT`). All dags walk one step per round.
+    vertices (`DATA`), else for nothing (`INIT`). All dags walk at once; a walk ends after ``max_depth`` steps.
     """
+    facts = materialize(facts.select("task_attempt_id", "vertex_id", "dag_id", "status", "creation_causal_ta", "end_time"), "critical-facts")
     ended = facts.where("end_time > 0 and dag_id is not null")
     key = F.struct("end_time", "task_attempt_id")
-    last = ended.where("status in ('SUCCEEDED', 'FAILED')").groupBy("dag_id").agg(F.max_by(F.struct("task_attempt_id", "vertex_id", "creation_causal_ta"), key).alias("a")).select("dag_id", "a.*")
+    last = ended.where("status in ('SUCCEEDED', 'FAILED')").groupBy("dag_id").agg(F.max_by(F.col("task_attempt_id"), key).alias("at"))
     done = ended.where("status = 'SUCCEEDED'").groupBy("vertex_id").agg(F.max(key).alias("end"))
     feeds = edges.select(F.col("source_vertex").alias("vertex_id"), "destination_vertex").join(done, "vertex_id").groupBy("destination_vertex").agg(F.max("end")["task_attempt_id"].alias("fed_by"))
-    feeds = materialize(feeds.withColumnRenamed("destination_vertex", "vertex_id"), "critical-feeds")
-    known = materialize(facts.select(F.col("task_attempt_id").alias("next"), F.col("vertex_id").alias("next_vertex"), F.col("creation_causal_ta").alias("next_cause")), "critical-known")
-    front, walked = last, []
-    for step in range(max_depth):
-        placed = front.join(feeds, "vertex_id", "left").withColumn("next", F.coalesce("creation_causal_ta", "fed_by"))
-        reason = F.when(F.col("creation_causal_ta").isNotNull(), "RETRY").when(F.col("fed_by").isNotNull(), "DATA").otherwise("INIT")
-        placed = materialize(placed.select("dag_id", F.lit(step).alias("step"), "task_attempt_id", reason.alias("reason"), "next"), "critical-step")
-        walked.append(placed.drop("next"))
-        front = placed.where("next is not null").join(known, "next").select("dag_id", F.col("next").alias("task_attempt_id"), F.col("next_vertex").alias("vertex_id"), F.col("next_cause").alias("creation_causal_ta"))
+    fed = facts.select("task_attempt_id", "vertex_id", "creation_causal_ta").join(feeds.withColumnRenamed("destination_vertex", "vertex_id"), "vertex_id", "left")
+    reason = F.when(F.col("creation_causal_ta").isNotNull(), "RETRY").when(F.col("fed_by").isNotNull(), "DATA").otherwise("INIT")
+    waits = materialize(fed.select(F.col("task_attempt_id").alias("at"), F.coalesce("creation_causal_ta", "fed_by").alias("next"), reason.alias("reason")), "critical-waits")
+    front, walked, step = last, [], 0
+    while step < max_depth:
+        # several steps a round: fewer jobs, and each joins only one row per dag
+        round_ = front.withColumn("trail", F.array().cast("array<struct<step:int,task_attempt_id:string,reason:string>>"))
+        for k in range(step, step + 6):
+            round_ = round_.join(waits, "at", "left")
+            here = F.array(F.struct(F.lit(k).alias("step"), F.col("at").alias("task_attempt_id"), F.col("reason")))
+            round_ = round_.select("dag_id", F.col("next").alias("at"), F.when(F.col("reason").isNotNull(), F.concat("trail", here)).otherwise(F.col("trail")).alias("trail"))
+        round_ = materialize(round_, "critical-round")
+        walked.append(round_.select("dag_id", F.explode("trail").alias("t")).select("dag_id", "t.*"))
+        front, step = round_.where("at is not null").select("dag_id", "at"), step + 6
         if front.isEmpty():
             break
     out = walked[0]
