@@ -286,6 +286,29 @@ def critical_path_notes(path: DataFrame, facts: DataFrame, slower: float = 1.25)
     return rows.select("dag_id", "step", "task_attempt_id", "reason", F.round("mean", 2).alias("vertex_mean_ms"), (F.col("time_taken") > slower * F.col("mean")).alias("straggler"), wait.alias("allocation_wait_ms"))
 
 
+def allocation_notes(path: DataFrame, facts: DataFrame) -> DataFrame:
+    """Why a critical attempt waited for its container between creation and allocation: (dag_id, step,
+    task_attempt_id, ``wait_ms``, ``busy_ms``, ``preempted``, ``note``).
+
+    ``busy_ms`` is how long the container ran other attempts meanwhile: 0 is a newly allocated
+    container, ``wait_ms`` or more a fully used one. ``preempted`` counts attempts of other
+    vertices of the dag that were killed meanwhile. Attempts that didn't wait are left out.
+    """
+    own = path.join(facts.select("task_attempt_id", "vertex_id", "container_id", "creation_time", "allocation_time"), "task_attempt_id")
+    own = materialize(own.where("creation_time > 0 and allocation_time > creation_time"), "allocation-own")
+    others = facts.where("start_time > 0 and end_time >= start_time").select(F.col("task_attempt_id").alias("other"), F.col("container_id").alias("c"), F.col("vertex_id").alias("v"), F.col("dag_id").alias("d"), "start_time", "end_time", "status")
+    overlap = F.greatest(F.lit(0), F.least("end_time", "allocation_time") - F.greatest("start_time", "creation_time"))
+    busy = own.join(others, (F.col("container_id") == F.col("c")) & (F.col("task_attempt_id") != F.col("other")) & (F.col("start_time") < F.col("allocation_time")) & (F.col("end_time") > F.col("creation_time")))
+    busy = busy.groupBy("task_attempt_id").agg(F.sum(overlap).alias("busy"))
+    killed = others.where("status = 'KILLED'").select("d", "v", "end_time")
+    lost = own.join(killed, (F.col("dag_id") == F.col("d")) & (F.col("vertex_id") != F.col("v")) & (F.col("end_time") > F.col("creation_time")) & (F.col("end_time") < F.col("allocation_time")))
+    lost = lost.groupBy("task_attempt_id").agg(F.count(F.lit(1)).alias("lost"))
+    out = own.join(busy, "task_attempt_id", "left").join(lost, "task_attempt_id", "left")
+    wait, used = F.col("allocation_time") - F.col("creation_time"), or_zero(F.col("busy"))
+    note = F.when(used == 0, "newly allocated").when(used >= wait, "fully used").otherwise("partly used")
+    return out.select("dag_id", "step", "task_attempt_id", wait.alias("wait_ms"), used.alias("busy_ms"), or_zero(F.col("lost")).alias("preempted"), note.alias("note"))
+
+
 def waves(facts: DataFrame) -> DataFrame:
     """Per vertex: tasks, most attempts at once, and waves = tasks / that, to one decimal."""
     most = task_concurrency(facts).groupBy("vertex_id").agg(F.max("running").alias("most_running"))

@@ -245,6 +245,14 @@ def combine_and_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.combine_and_reduce(rows, ["o_orderpriority"], lambda p: p.groupby("o_orderpriority", as_index=False, dropna=False).sum(), "o_orderpriority string, n long, key_sum long")
 
 
+@query("""with a as (select l_suppkey as k, count(*) as n from lineitem group by 1), b as (select n % 10 as k, sum(n) as n, count(*) as m from a group by 1)
+select k, cast(n as bigint) as n, m from b""")
+def multi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map, two reduces in a row, and a narrow end: three stages."""
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy((F.col("n") % 10).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+
+
 JOIN_DATA_SQL = """
 with big as (select 'term_' || i || '_' || substr(md5('7:' || i), 1, 12) as value from range(0, 20000) t(i)),
 small as (select 'term_' || i || '_' || substr(md5('7:' || i), 1, 12) as value from range(0, 4000) t(i)

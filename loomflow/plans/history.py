@@ -236,6 +236,18 @@ def critical_path_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzers.critical_path_notes(analyzers.critical_path(facts, model.chain_edges(_vertices(spark, sf_dir))), facts)
 
 
+@query(_CRITICAL.replace("select dag_id, step, id as", ", path as (select dag_id, step, id as", 1) + """),
+o as (select path.dag_id, step, path.task_attempt_id as a, vertex_id, container_id, creation_time as x, allocation_time as y from path join f using (task_attempt_id) where creation_time > 0 and allocation_time > creation_time),
+g as (select * from f where start_time > 0 and end_time >= start_time),
+b as (select a, sum(least(end_time, y) - greatest(start_time, x)) as busy from o join g on g.container_id = o.container_id and task_attempt_id <> a and start_time < y and end_time > x group by 1),
+k as (select a, count(*) as lost from o join g on g.dag_id = o.dag_id and g.vertex_id <> o.vertex_id and end_time > x and end_time < y and status = 'KILLED' group by 1)
+select dag_id, step, a as task_attempt_id, y - x as wait_ms, cast(coalesce(busy, 0) as bigint) as busy_ms, coalesce(lost, 0) as preempted,
+  case when coalesce(busy, 0) = 0 then 'newly allocated' when busy >= y - x then 'fully used' else 'partly used' end as note from o left join b using (a) left join k using (a)""")
+def allocation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _facts(spark, sf_dir)
+    return analyzers.allocation_notes(analyzers.critical_path(facts, model.chain_edges(_vertices(spark, sf_dir))), facts)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

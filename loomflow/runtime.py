@@ -22,16 +22,26 @@ DEFAULT_CONF = {
 _written: list[tuple[SparkSession, str]] = []
 
 
-def session(app: str = "loomflow", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with the engine's defaults; ``conf`` wins over them."""
+def session(app: str = "loomflow", master: str | None = None, conf: dict[str, str] | None = None, remote: str | None = None) -> SparkSession:
+    """A session with the engine's defaults; ``conf`` wins over them. ``remote`` is the address of
+    a Spark Connect server, on which operators that need the JVM or broadcast variables don't run."""
     builder = SparkSession.builder.appName(app)
-    if master:
+    if remote:
+        builder = builder.remote(remote)
+    elif master:
         builder = builder.master(master)
     for name, value in (DEFAULT_CONF | (conf or {})).items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
+def prewarm(spark: SparkSession) -> int:
+    """Starts executors and their Python workers before the first query; gives the tasks run."""
+    tasks = spark.sparkContext.defaultParallelism
+    warm = spark.range(0, tasks, 1, tasks).mapInPandas(lambda parts: parts, "id long")
+    return warm.repartition(tasks).count()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else the context's
     checkpoint folder, else (local runs only) a fresh temporary one."""

@@ -43,6 +43,11 @@ def write_all(outputs: dict[str, DataFrame], per_output: bool = False, kind: str
                 _fs(spark, stage).delete(_path(spark, stage), True)
 
 
+def write_bucketed(df: DataFrame, name: str, by: str, buckets: int) -> None:
+    """A table bucketed and sorted by a key: tables of equal buckets join on it without a shuffle."""
+    df.write.mode("errorifexists").bucketBy(buckets, by).sortBy(by).format("parquet").saveAsTable(name)
+
+
 def write_group(sources: list[DataFrame], path: str, kind: str = "parquet") -> None:
     """One sink shared by a group of sources."""
     out = sources[0]

@@ -38,6 +38,13 @@ def read_lines_with_offsets(spark: SparkSession, paths: str | Sequence[str]) ->
     return files.mapInArrow(split, "file string, offset long, line string")
 
 
+def read_sequence_files(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) strings of sequence files. The format has no columnar reader, so rows pass
+    through Python one by one; convert such inputs to Parquet once."""
+    pairs = spark.sparkContext.sequenceFile(path).map(lambda kv: (str(kv[0]), str(kv[1])))
+    return spark.createDataFrame(pairs, "key string, value string")
+
+
 def _lf_lines(content: bytes) -> list[bytes]:
     parts = content.split(b"\n")
     return [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])

@@ -48,6 +48,17 @@ def test_critical_path(facts, edges):
     assert notes[0].straggler and notes[0].allocation_wait_ms == 3 and not notes[2].straggler
 
 
+def test_allocation_notes(spark):
+    def row(name, vertex, container, status, created, allocated, start, end):
+        return (name, name[:-2], vertex, "d", vertex, container, "n", status, None, None, None, created, allocated, start, end, end - start, end - start)
+
+    rows = [row("a_00_0", "a", "c1", "SUCCEEDED", 1, 2, 10, 60), row("b_00_0", "b", "c1", "SUCCEEDED", 20, 100, 110, 200), row("z_00_0", "z", "c9", "KILLED", 5, 5, 30, 70)]
+    f = model.attempt_facts(spark.createDataFrame(rows, ATTEMPT))
+    path = spark.createDataFrame([("d", 0, "b_00_0", "DATA"), ("d", 1, "a_00_0", "INIT")], "dag_id string, step int, task_attempt_id string, reason string")
+    got = {r.task_attempt_id: (r.wait_ms, r.busy_ms, r.preempted, r.note) for r in analyzers.allocation_notes(path, f).collect()}
+    assert got == {"b_00_0": (80, 40, 1, "partly used"), "a_00_0": (1, 0, 0, "newly allocated")}
+
+
 def test_concurrency_counts_starts_before_finishes(facts):
     got = [(r.at_ms, r.kind, r.running) for r in analyzers.task_concurrency(facts).where("vertex_id = 'v1'").orderBy("at_ms", F.col("kind").desc()).collect()]
     assert got == [(250, "START", 1), (260, "START", 2), (300, "START", 4), (300, "FINISH", 2), (310, "FINISH", 1), (500, "FINISH", 0)]

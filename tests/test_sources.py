@@ -114,3 +114,35 @@ def test_stream_windows_drop_late_events(spark, tmp_path):
     write("2024-01-01 00:30:00")  # too late
     count()
     assert [(str(r.window_start), r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("2024-01-01 00:00:00", 2)]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, plan):
+    df = spark.range(200).select((F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("bucketed_a", "bucketed_b"):
+            spark.sql(f"drop table if exists {name}")
+            sinks.write_bucketed(df, name, "k", 4)
+        joined = joins.composite_join([spark.table("bucketed_a"), spark.table("bucketed_b")], "k", "v")
+        assert joined.count() == 800
+        assert "Exchange" not in plan(joined).split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_partitions_are_pruned_at_run_time(spark, tmp_path, plan):
+    spark.range(400).select((F.col("id") % 8).alias("day"), "id").write.partitionBy("day").parquet(f"{tmp_path}/facts")
+    spark.range(8).select(F.col("id").alias("d"), F.concat(F.lit("n"), "id").alias("name")).write.parquet(f"{tmp_path}/days")
+    joined = spark.read.parquet(f"{tmp_path}/facts").join(spark.read.parquet(f"{tmp_path}/days").where("name = 'n3'"), F.col("day") == F.col("d"))
+    assert joined.count() == 50 and "dynamicpruning" in plan(joined).lower()
+
+
+def test_sequence_files(spark, tmp_path):
+    spark.sparkContext.parallelize([("a", "1"), ("b", "2")]).saveAsSequenceFile(f"{tmp_path}/seq")
+    assert sorted(map(tuple, texts.read_sequence_files(spark, f"{tmp_path}/seq").collect())) == [("a", "1"), ("b", "2")]
+
+
+def test_prewarm(spark):
+    from loomflow.runtime import prewarm
+
+    assert prewarm(spark) == 4
