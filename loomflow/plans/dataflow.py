@@ -11,7 +11,7 @@ from loomflow.sources import generators, sinks
 from loomflow.sources.tables import table
 
 TOKENS_SQL = "select {keys} unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) as word from documents"
-LINE_SQL = "select doc_id, generate_subscripts(parts, 1) as line_no, unnest(parts) as line from (select doc_id, string_split(text, chr(10)) as parts from documents)"
+LINE_SQL = "select doc_id, cast(generate_subscripts(parts, 1) as integer) as line_no, unnest(parts) as line from (select doc_id, string_split(text, chr(10)) as parts from documents)"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -159,7 +159,7 @@ def union_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.union_merged(_order_parts(spark, sf_dir), ["o_orderpriority"], [F.count(F.lit(1)).alias("n")])
 
 
-@query(f"select 'Union' as label, count(distinct word) as n_keys, 0 as n_wrong from ({TOKENS_SQL.format(keys='')}) where word <> ''")
+@query(f"select 'Union' as label, count(distinct word) as n_keys, cast(0 as bigint) as n_wrong from ({TOKENS_SQL.format(keys='')}) where word <> ''")
 def union_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = text.tokenize(table(spark, sf_dir, "documents"), "text")
     return sets.union_check(words, words, words, "word")
@@ -267,7 +267,7 @@ def generated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.intersect_keys(big, small, ["value"])
 
 
-@query("select 0 as n_mismatch, true as valid")
+@query("select cast(0 as bigint) as n_mismatch, true as valid")
 def generated_join_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     big, small, expected = generators.join_data(spark, 20_000, 5_000, 0.2, seed=7)
     return joins.validate_keys(joins.intersect_keys(big, small, ["value"]), expected, ["value"])
