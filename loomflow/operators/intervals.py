@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -157,28 +157,28 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, shard_uni
     shards = shards.select("entity", "shard", "runs", low.alias("low"), n.alias("n"))
     run_lo = lambda i: F.element_at("runs", 2 * i - 1) + F.col("low")  # noqa: E731 - i counts from 1
     run_hi = lambda i: run_lo(i) + F.element_at("runs", 2 * i)
+    # Runs at shard borders go on if they touch. chain is where the period of a shard's last run begins.
     by_shard = Window.partitionBy("entity").orderBy("shard")  # as many rows as shards
+    upto = by_shard.rowsBetween(Window.unboundedPreceding, 0)
     edges = shards.select(
         "entity", "shard", "runs", "low", "n", run_lo(F.lit(1)).alias("first_lo"), run_hi(F.lit(1)).alias("first_hi"), run_lo(F.col("n")).alias("last_lo"), run_hi(F.col("n")).alias("last_hi")
-    ).withColumn("before", F.lag("last_hi").over(by_shard))
-    joined = F.col("before") + 1 == F.col("first_lo")
+    )
+    edges = edges.withColumn("before", F.lag("last_hi").over(by_shard)).withColumn("after", F.lead("first_lo").over(by_shard))
+    edges = edges.withColumn("joined", F.coalesce(F.col("before") + 1 == F.col("first_lo"), F.lit(False)))
+    edges = edges.withColumn("chain", F.last(F.when((F.col("n") > 1) | ~F.col("joined"), F.col("last_lo")), ignorenulls=True).over(upto))
+    edges = edges.withColumn("chain_before", F.lag("chain").over(by_shard))
 
-    def item(kind: str, a: object, b: object) -> object:
+    def item(kind: str, a: Column, b: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
 
+    several = F.col("n") > 1
+    opening = F.when(several, F.array(item("period", F.when(F.col("joined"), F.col("chain_before")).otherwise(F.col("first_lo")), F.col("first_hi"))))
     inner = F.when(F.col("n") > 2, F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda i: item("period", run_lo(i), run_hi(i))))
-    clear = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: item("gap", run_hi(i), run_lo(i + 1))))
-    across = F.when(F.col("before").isNotNull() & ~joined, F.array(item("gap", F.col("before"), F.col("first_lo"))))
+    closing = F.when(F.coalesce(F.col("after") > F.col("last_hi") + 1, F.lit(True)), F.array(item("period", F.col("chain"), F.col("last_hi"))))
+    clear = F.when(several, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: item("gap", run_hi(i), run_lo(i + 1))))
+    across = F.when(F.col("before").isNotNull() & ~F.col("joined"), F.array(item("gap", F.col("before"), F.col("first_lo"))))
     none = F.array().cast("array<struct<kind:string,a:bigint,b:bigint>>")
-    ends = F.when(F.col("n") > 1, F.array(item("edge", F.col("first_lo"), F.col("first_hi")), item("edge", F.col("last_lo"), F.col("last_hi")))).otherwise(F.array(item("edge", F.col("first_lo"), F.col("first_hi"))))
-    items = edges.select("entity", F.explode(F.concat(ends, *[F.coalesce(x, none) for x in (inner, clear, across)])).alias("x")).select("entity", "x.*")
-
-    # Runs at shard borders: two a shard at most. Those that touch are one period.
-    in_time = Window.partitionBy("entity").orderBy("a")
-    starts = F.coalesce(F.lag("b").over(in_time) + 1 < F.col("a"), F.lit(True)).cast("int")
-    edge = items.where("kind = 'edge'").withColumn("new", starts)
-    edge = edge.withColumn("island", F.sum("new").over(in_time)).groupBy("entity", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    whole = items.where("kind <> 'edge'").unionByName(edge.select("entity", F.lit("period").alias("kind"), "a", "b"))
+    whole = edges.select("entity", F.explode(F.concat(*[F.coalesce(x, none) for x in (opening, inner, closing, clear, across)])).alias("x")).select("entity", "x.*")
     return whole.select(F.col("entity").alias(entity), "kind", (F.col("a") / 2).cast("long").alias("a"), (F.col("b") / 2).cast("long").alias("b")).select(
         entity, "kind", (F.col("a") + first).alias("from_unit"), (F.col("b") + first).alias("to_unit")
     )
