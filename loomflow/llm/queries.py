@@ -96,6 +96,20 @@ select distinct doc_id, item_id from dg join ig using (g)
 """
 
 
+P8_RUNS_SQL = f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents where doc_id is not null),
+i as (select item_id, {WORDS_SQL} as w from eval_items where item_id is not null),
+ig as (select item_id, k as ik, array_to_string(w[k:k+11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
+dg as (select doc_id, k as dk, array_to_string(w[k:k+11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+m as (select distinct doc_id, item_id, dk, ik from dg join ig using (g)),
+r as (select *, dk - row_number() over (partition by doc_id, item_id, dk - ik order by dk) as run from m),
+p as (select doc_id, item_id, count(*) + 11 as n_words, min(dk) - 1 as doc_word, min(ik) - 1 as item_word from r group by doc_id, item_id, dk - ik, run),
+b as (select *, row_number() over (partition by doc_id, item_id order by n_words desc, doc_word, item_word) as rn from p)
+"""
+P8_PASSAGES_SQL = P8_RUNS_SQL + "select doc_id, item_id, cast(n_words as integer) as n_words, cast(doc_word as integer) as doc_word, cast(item_word as integer) as item_word from b where rn = 1"
+P8_ITEMS_SQL = P8_RUNS_SQL + "select item_id, count(*) as n_docs, cast(max(n_words) as integer) as longest from b where rn = 1 group by 1"
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_report(spark, sf_dir).where("short").select("source")
 
@@ -126,6 +140,34 @@ select doc_id from p group by doc_id, n having count(*) * 100 >= 40 * n
 """
 
 
+_GRAMS = ((2, 2), (4, 2), (6, 3), (10, 2))
+
+
+def _covered_sql(n: int, least: int) -> str:
+    grams = f"select doc_id, k, array_to_string(w[k:k+{n - 1}], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - {n - 2})) as k from d)"
+    often = f"select doc_id, k from (select *, count(*) over (partition by doc_id, g) as c from ({grams})) where c >= {least}"
+    return f"select doc_id, count(*) as n, sum(len(w[place])) as chars from (select distinct doc_id, k + j as place from ({often}), (select unnest(range(0, {n})) as j)) join d using (doc_id) group by 1"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _repeated_sql(parts: str) -> str:
+    return f"select doc_id, sum(len(x) * c) filter (where c > 1) as n from (select doc_id, x, count(*) as c from (select doc_id, trim(unnest({parts}), {_BLANKS}) as x from documents) where x <> '' group by 1, 2) group by 1"
+
+
+P10_REPETITION_SQL = (
+    f"with d as (select doc_id, {WORDS_SQL} as w from documents), "
+    + ", ".join(f"g{n} as ({_covered_sql(n, m)})" for n, m in _GRAMS)
+    + f", l as ({_repeated_sql('string_split(text, chr(10))')}), p as ({_repeated_sql("regexp_split_to_array(text, '[' || chr(10) || '][ \\t\\n\\r]*[' || chr(10) || ']')")}) "
+    + "select t.doc_id, cast(len(w) as bigint) as n_words, cast(length(text) as bigint) as n_chars, "
+    + "coalesce(l.n, 0) / greatest(length(text), 1) as line_share, coalesce(p.n, 0) / greatest(length(text), 1) as paragraph_share, "
+    + ", ".join(f"coalesce(g{n}.n, 0) as words_{n}_{m}, coalesce(g{n}.chars, 0) / greatest(list_sum(list_transform(w, lambda x: len(x))), 1) as chars_{n}_{m}" for n, m in _GRAMS)
+    + " from documents t join d using (doc_id) left join l using (doc_id) left join p using (doc_id) "
+    + " ".join(f"left join g{n} using (doc_id)" for n, _ in _GRAMS)
+)
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -145,4 +187,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p10_found": P10_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_items": P8_ITEMS_SQL, "p10_found": P10_FOUND_SQL, "p10_repetition": P10_REPETITION_SQL}
