@@ -69,8 +69,11 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 @atexit.register
-def _cleanup() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Deletes all tables that ``materialize`` wrote. Long-lived sessions call it once results
+    that read them are written; it also runs when Python ends."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
