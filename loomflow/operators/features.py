@@ -53,6 +53,7 @@ def event_statistics(df: DataFrame, entity: Column, kind: Column, event: Column,
         epoch_ms(time).alias("ms"),
         size.cast("long").alias("size"),
     ).where("entity is not null and entity <> '' and words is not null and event is not null and ms is not null")
+    rows = materialize(rows, "feature-rows")  # read twice: for spellings, then for events
     events = _one_spelling(rows).groupBy("entity", "words", "event").agg(F.max("ms").alias("ms"), F.max("size").alias("size"))
     merged = salted_aggregate(
         materialize(events, "feature-events"),
