@@ -23,8 +23,12 @@ from loomflow.runtime import materialize
 #: Words of test items handled at once; their anchors are broadcast.
 BLOCK_WORDS = 1_000_000
 
-#: Up to so many candidate documents are broadcast as ids; more are joined by shuffle.
-BROADCAST_IDS = 200_000
+#: Up to so many candidate documents and starts are broadcast. More are joined by shuffle, of the
+#: documents that a bitmap of the candidates' hashes lets pass.
+BROADCAST_IDS = 50_000
+
+#: Bits of that bitmap: 16 MB, whatever the data.
+BITMAP_BITS = 1 << 27
 
 
 def document_frequencies(docs: DataFrame, text: str, vocabulary: set[str]) -> dict[str, int]:
@@ -86,6 +90,18 @@ def postings(docs: DataFrame, ident: str, text: str, terms: dict[str, int]) -> D
     return source.mapInArrow(index, f"term int, doc {kind}, positions array<int>")
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``doc`` may be in ``wanted``: all that are, and of the others a share of about
+    wanted / BITMAP_BITS. The broadcast is at most BITMAP_BITS / 8 bytes, in pieces of 4 KB, so
+    texts of other documents don't reach the shuffle."""
+    size = 32_768  # bits of one piece, as the bitmap functions have it
+    hashed = F.pmod(F.xxhash64("doc"), F.lit(BITMAP_BITS))
+    bits = wanted.select(hashed.alias("h")).groupBy(F.expr(f"h div {size}").alias("piece")).agg(F.bitmap_construct_agg(F.col("h") % size).alias("bitmap"))
+    marked = rows.withColumn("h", hashed).withColumn("piece", F.expr(f"h div {size}")).join(F.broadcast(bits), "piece")
+    byte = F.conv(F.hex(F.substring("bitmap", F.expr(f"cast(h % {size} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    return marked.withColumn("byte", byte).where("shiftright(byte, cast(h % 8 as int)) & 1 = 1").drop("h", "piece", "bitmap", "byte")
+
+
 def _blocks(items: DataFrame, ident: str, text: str) -> Iterator[list[tuple[object, list[str]]]]:
     held, size = [], 0
     for row in items.select(ident, text).where(F.col(ident).isNotNull()).toLocalIterator():
@@ -254,7 +270,7 @@ def _leaked_block(spark: SparkSession, docs: DataFrame, doc_id: str, text: str,
     sizes = per_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     small = sizes[0] + sizes[1] <= BROADCAST_IDS
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    check = source.join(F.broadcast(per_doc) if small else per_doc, "doc")
+    check = source.join(F.broadcast(per_doc), "doc") if small else _maybe_in(source, per_doc).join(per_doc, "doc")
     shared = spark.sparkContext.broadcast(texts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ def _common_bytes(a: Column, b: Column) -> Column:
     length = (F.least(F.length(x), F.length(y)) / 2).cast("int")
     # bisection over the prefix length, so long identifiers cost few steps
     found = F.aggregate(
-        F.sequence(F.lit(0), F.lit(20)),
+        F.sequence(F.lit(0), F.lit(31)),
         F.struct(F.lit(0).alias("lo"), length.alias("hi")),
         lambda acc, _: F.struct(
             F.when(F.substring(x, F.lit(1), 2 * F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int")) == F.substring(y, F.lit(1), 2 * F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int")), F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int")).otherwise(acc["lo"]).alias("lo"),

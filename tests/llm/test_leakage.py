@@ -71,6 +71,17 @@ def test_blocks_of_items(spark, monkeypatch):
     assert run(spark, docs, items, 6) == {(k, k): 8 for k in range(5)}
 
 
+def test_bitmap_lets_all_wanted_pass(spark, monkeypatch):
+    import loomflow.llm.leakage as module
+
+    rows = spark.range(20_000).selectExpr("id as doc", "'t' as text")
+    wanted = spark.range(0, 20_000, 7).selectExpr("id as doc")
+    for bits, most in ((1 << 27, 2900), (1 << 16, 4000)):
+        monkeypatch.setattr(module, "BITMAP_BITS", bits)
+        passed = {r.doc for r in module._maybe_in(rows, wanted).collect()}
+        assert set(range(0, 20_000, 7)) <= passed and len(passed) <= most
+
+
 def test_windows_with_unknown_words_are_left_out():
     df = {"a": 5, "b": 1, "c": 9}
     assert anchored_windows(["a", "b", "c", "zz", "a", "b", "c"], df, 3, 2) == [(0, 1), (4, 5)]
