@@ -97,13 +97,14 @@ def feature_table(statistics: DataFrame, prefix: str = "") -> DataFrame:
     per = statistics.groupBy("entity").agg(
         F.map_from_entries(F.collect_list(pairs)).alias("m"), F.sum("n_events").alias("n_events"), F.max("last_ms").alias("latest_ms")
     )
-    at = lambda t, c: F.try_element_at(F.col("m"), t)[c]
+    # one look-up a type; a prior step of its own, so that the three arrays share it
+    per = per.withColumn("cells", F.transform(kinds, lambda t: F.try_element_at(F.col("m"), t)))
     return per.select(
         "entity",
         F.col("n_events").alias(f"{prefix}n_events"),
         F.col("latest_ms").alias(f"{prefix}latest_ms"),
         kinds.alias(f"{prefix}types"),
-        F.transform(kinds, lambda t: F.coalesce(at(t, "n_events"), F.lit(0).cast("long"))).alias(f"{prefix}counts"),
-        F.transform(kinds, lambda t: at(t, "last_ms")).alias(f"{prefix}last_ms"),
-        F.transform(kinds, lambda t: F.coalesce(at(t, "total_size"), F.lit(0).cast("long"))).alias(f"{prefix}sizes"),
+        F.transform("cells", lambda c: F.coalesce(c["n_events"], F.lit(0).cast("long"))).alias(f"{prefix}counts"),
+        F.col("cells.last_ms").alias(f"{prefix}last_ms"),
+        F.transform("cells", lambda c: F.coalesce(c["total_size"], F.lit(0).cast("long"))).alias(f"{prefix}sizes"),
     )
