@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomflow.runtime import ship
+
 #: A shard's width in time units (a day of milliseconds), and the most shards one interval may touch.
 SHARD_UNITS = 86_400_000
 MOST_SHARDS = 4096
@@ -63,6 +65,7 @@ def _group_codes(names: pa.Array, shards: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def run_bitmaps(intervals: DataFrame, width: int) -> DataFrame:
     """(entity, shard, runs) from (entity, lo, hi) in half units; one row per entity and shard."""
+    ship(intervals.sparkSession)
     kind = intervals.schema["entity"].dataType.simpleString()
     schema = f"entity {kind}, shard long, runs array<long>"
 

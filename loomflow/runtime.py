@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,24 @@ DEFAULT_CONF = {
 }
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's code, once per application: their Python workers import it
+    when they run an operator's functions, and needn't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix=f"{package.name}-", suffix=".zip")  # the driver serves it
+    os.close(handle)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
 
 
 def session(app: str = "loomflow", master: str | None = None, conf: dict[str, str] | None = None, remote: str | None = None) -> SparkSession:
@@ -32,7 +53,10 @@ def session(app: str = "loomflow", master: str | None = None, conf: dict[str, st
         builder = builder.master(master)
     for name, value in (DEFAULT_CONF | (conf or {})).items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not remote:
+        ship(spark)
+    return spark
 
 
 def prewarm(spark: SparkSession) -> int:
@@ -62,6 +86,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     Folders are deleted when the Python process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/loomflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

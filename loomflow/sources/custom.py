@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loomflow.runtime import ship
+
 
 class TermSplit(InputPartition):
     def __init__(self, first: int, last: int) -> None:
@@ -41,4 +43,5 @@ class TermSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(TermSource)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomflow.runtime import ship
+
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(line, file) of text files, split as Spark splits them."""
@@ -22,6 +24,7 @@ def read_lines_with_offsets(spark: SparkSession, paths: str | Sequence[str]) ->
     ones are better split into files first. Lines end at LF or CRLF; bytes that aren't
     UTF-8 are replaced. Empty files give no rows.
     """
+    ship(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
