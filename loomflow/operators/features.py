@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,9 @@ from loomflow.runtime import materialize
 #: More event types than this are no feature columns.
 MOST_TYPES = 10_000
 
+#: Cells of dense arrays that a task makes at once.
+CELLS = 1_000_000
+
 
 def epoch_ms(value: Column) -> Column:
     """Epoch seconds, milli-, micro- or nanoseconds as milliseconds, finer parts cut off.
@@ -92,19 +100,29 @@ def feature_table(statistics: DataFrame, prefix: str = "") -> DataFrame:
     types = [r[0] for r in statistics.select("eventtype").distinct().limit(MOST_TYPES + 1).collect()]
     if len(types) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} event types")
-    kinds = F.array(*[F.lit(t) for t in sorted(types)]) if types else F.array().cast("array<string>")
-    pairs = F.struct(F.col("eventtype"), F.struct("n_events", "last_ms", "total_size"))
-    per = statistics.groupBy("entity").agg(
-        F.map_from_entries(F.collect_list(pairs)).alias("m"), F.sum("n_events").alias("n_events"), F.max("last_ms").alias("latest_ms")
-    )
-    # one look-up a type; a prior step of its own, so that the three arrays share it
-    per = per.withColumn("cells", F.transform(kinds, lambda t: F.try_element_at(F.col("m"), t)))
-    return per.select(
-        "entity",
-        F.col("n_events").alias(f"{prefix}n_events"),
-        F.col("latest_ms").alias(f"{prefix}latest_ms"),
-        kinds.alias(f"{prefix}types"),
-        F.transform("cells", lambda c: F.coalesce(c["n_events"], F.lit(0).cast("long"))).alias(f"{prefix}counts"),
-        F.col("cells.last_ms").alias(f"{prefix}last_ms"),
-        F.transform("cells", lambda c: F.coalesce(c["total_size"], F.lit(0).cast("long"))).alias(f"{prefix}sizes"),
-    )
+    listed = pa.array(sorted(types) or [""], pa.string())  # no types: no rows either
+    cell = F.struct("eventtype", "n_events", "last_ms", "total_size")
+    per = statistics.groupBy("entity").agg(F.sum("n_events").alias("n_events"), F.max("last_ms").alias("latest_ms"), F.collect_list(cell).alias("cells"))
+    kind = statistics.schema["entity"].dataType.simpleString()
+    names = ["entity", *[prefix + n for n in ("n_events", "latest_ms", "types", "counts", "last_ms", "sizes")]]
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scatters the cells of a batch of entities into dense arrays over all types."""
+        width = len(listed)
+        rows = max(1, CELLS // width)
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
+            lists = batch.column(3)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            place = row * width + pc.index_in(flat.field("eventtype"), value_set=listed).to_numpy()
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            dense = []
+            for field, missing in (("n_events", False), ("last_ms", True), ("total_size", False)):
+                values, absent = np.zeros(batch.num_rows * width, np.int64), np.full(batch.num_rows * width, missing)
+                values[place], absent[place] = flat.field(field).to_numpy(), False
+                dense.append(pa.ListArray.from_arrays(ends, pa.array(values, mask=absent)))
+            every = pa.ListArray.from_arrays(ends, pa.concat_arrays([listed] * batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], every, *dense], names=names)
+
+    schema = f"entity {kind}, {names[1]} long, {names[2]} long, {names[3]} array<string>, {names[4]} array<long>, {names[5]} array<long>, {names[6]} array<long>"
+    return per.mapInArrow(expand, schema)

@@ -35,6 +35,18 @@ def test_feature_table_has_all_types(spark):
     assert got["dag_2"]["latest_ms"] == MS
 
 
+def test_dense_arrays_in_slices(spark, monkeypatch):
+    import loomflow.operators.features as module
+
+    monkeypatch.setattr(module, "CELLS", 40)
+    rows = [(i, f"d{i % 50}", f"T{i % 17}", MS + i, i, "z", "z") for i in range(1000)]
+    df = stats(spark, rows)
+    want = {(r.entity, r.eventtype): (r.n_events, r.last_ms, r.total_size) for r in df.collect()}
+    for r in feature_table(df).collect():
+        for t, n, last, size in zip(r["types"], r["counts"], r["last_ms"], r["sizes"]):
+            assert want.get((r["entity"], t), (0, None, 0)) == (n, last, size)
+
+
 def test_empty(spark):
     assert stats(spark, []).count() == 0
     assert feature_table(stats(spark, [])).count() == 0
