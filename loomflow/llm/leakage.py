@@ -18,22 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.llm.words import words
-from loomflow.runtime import materialize
+from loomflow.runtime import materialize, ship
 
 #: Words of test items handled at once; their anchors are broadcast.
 BLOCK_WORDS = 1_000_000
 
 #: Up to so many candidate documents and starts are broadcast. More are joined by shuffle, of the
 #: documents that a bitmap of the candidates' hashes lets pass.
-BROADCAST_IDS = 50_000
+BROADCAST_IDS = 20_000
 
-#: Bits of that bitmap: 16 MB, whatever the data.
+#: Bits of that bitmap: 64 a candidate, as a power of two, and 16 MB at most.
 BITMAP_BITS = 1 << 27
 
 
 def document_frequencies(docs: DataFrame, text: str, vocabulary: set[str]) -> dict[str, int]:
     """In how many documents each word of the vocabulary occurs, over all documents.
     The result is no larger than the vocabulary, which the caller bounds."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +64,7 @@ def postings(docs: DataFrame, ident: str, text: str, terms: dict[str, int]) -> D
     """The positional index over the given terms: (term int, ident, positions array<int>),
     one row per term and document, from the whole texts. Documents without an id
     can't be reported and aren't indexed."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     kind = docs.schema[ident].dataType.simpleString()
 
@@ -90,12 +92,14 @@ def postings(docs: DataFrame, ident: str, text: str, terms: dict[str, int]) -> D
     return source.mapInArrow(index, f"term int, doc {kind}, positions array<int>")
 
 
-def _maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``doc`` may be in ``wanted``: all that are, and of the others a share of about
-    wanted / BITMAP_BITS. The broadcast is at most BITMAP_BITS / 8 bytes, in pieces of 4 KB, so
-    texts of other documents don't reach the shuffle."""
+def _maybe_in(rows: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """Rows whose ``doc`` may be in ``wanted``, which has ``count`` rows: all that are, and of the others
+    a share of 1/64, more beyond BITMAP_BITS / 64 rows. The broadcast is at most
+    BITMAP_BITS / 8 bytes, in pieces of 4 KB, and texts of most other documents don't
+    reach the shuffle."""
     size = 32_768  # bits of one piece, as the bitmap functions have it
-    hashed = F.pmod(F.xxhash64("doc"), F.lit(BITMAP_BITS))
+    bits_used = min(BITMAP_BITS, max(size, 1 << (64 * max(count, 1)).bit_length()))
+    hashed = F.pmod(F.xxhash64("doc"), F.lit(bits_used))
     bits = wanted.select(hashed.alias("h")).groupBy(F.expr(f"h div {size}").alias("piece")).agg(F.bitmap_construct_agg(F.col("h") % size).alias("bitmap"))
     marked = rows.withColumn("h", hashed).withColumn("piece", F.expr(f"h div {size}")).join(F.broadcast(bits), "piece")
     byte = F.conv(F.hex(F.substring("bitmap", F.expr(f"cast(h % {size} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
@@ -270,7 +274,7 @@ def _leaked_block(spark: SparkSession, docs: DataFrame, doc_id: str, text: str,
     sizes = per_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     small = sizes[0] + sizes[1] <= BROADCAST_IDS
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    check = source.join(F.broadcast(per_doc), "doc") if small else _maybe_in(source, per_doc).join(per_doc, "doc")
+    check = source.join(F.broadcast(per_doc), "doc") if small else _maybe_in(source, per_doc, sizes[0]).join(per_doc, "doc")
     shared = spark.sparkContext.broadcast(texts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomflow.runtime import materialize
+from loomflow.runtime import materialize, ship
 
 #: Tokens of a block, documents of a shard.
 BLOCK_TOKENS = 4096
@@ -43,6 +43,7 @@ def _encoder(path: str):  # noqa: ANN202 - an optional library's type
 
 def token_counts(df: DataFrame, columns: Sequence[str], text: str, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
     """``columns`` and ``n_tokens`` long of every row; a null or empty text has 0."""
+    ship(df.sparkSession)
     schema = df.select(*columns).schema.add("n_tokens", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

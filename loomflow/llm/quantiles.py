@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomflow.runtime import ship
+
 #: Section size. The rank error is at most about n_above / (2 * section), where
 #: n_above counts the values over the quantile; see tests/llm/test_quantiles.py.
 SECTION = 64
@@ -137,6 +139,7 @@ def sketch_by(df: DataFrame, keys: Sequence[str], value: str, section: int = SEC
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     names = _names(keys)
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).cast("double").alias("__v"))
     rows = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
@@ -184,6 +187,7 @@ def merge_sketches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     names = _names(keys)
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("n").alias("__n"), F.col("sketch").alias("__sketch"))
     schema = _schema(rows, names)
