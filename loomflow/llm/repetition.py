@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomflow.llm.words import word_spans
+from loomflow.llm.words import words
+from loomflow.runtime import ship
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,6 +71,7 @@ def repetition(df: DataFrame, ident: str, text: str, grams: Sequence[tuple[int,
     give repeated rows. Only the two named columns are read. Words and hashes are of
     the whole text, whatever its length.
     """
+    ship(df.sparkSession)
     fields = [T.StructField("__id", df.schema[ident].dataType)] + [T.StructField(n, t) for n, t in _SIMPLE]
     for n, least in grams:
         fields += [T.StructField(f"words_{n}_{least}", T.LongType()), T.StructField(f"chars_{n}_{least}", T.DoubleType())]
@@ -78,12 +80,12 @@ def repetition(df: DataFrame, ident: str, text: str, grams: Sequence[tuple[int,
 
     def profile(value: str | None) -> list:
         value = value or ""
-        lower, spans = value.lower(), word_spans(value)
+        found = words(value)
         seen: dict[str, int] = {}
-        codes = np.fromiter((seen.setdefault(lower[a:b], len(seen)) for a, b in spans), np.int64, len(spans))
-        lengths = np.fromiter((b - a for a, b in spans), np.int64, len(spans))
+        codes = np.array([seen.setdefault(w, len(seen)) for w in found], np.int64)
+        lengths = np.array(list(map(len, found)), np.int64)
         mixed, chars = _mixed(codes), int(lengths.sum())
-        row: list = [len(spans), len(value), 0.0, 0.0]
+        row: list = [len(found), len(value), 0.0, 0.0]
         if lines and value:
             row[2] = _repeated_chars(value.split("\n")) / len(value)
             row[3] = _repeated_chars(re.split(r"\n\s*\n", value)) / len(value)

@@ -10,7 +10,3 @@ _WORD = re.compile(r"[^\W_]+")
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
-
-def word_spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of each word within ``text.lower()``."""
-    return [m.span() for m in _WORD.finditer(text.lower())]
