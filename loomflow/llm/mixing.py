@@ -91,12 +91,14 @@ def mix(
     source: str,
     text: str,
     targets: DataFrame,
-    total_tokens: int | None = None,
+    total_tokens: int | str | None = None,
     seed: int = 17,
     block_tokens: int = BLOCK_TOKENS,
     tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken",
 ) -> tuple[DataFrame, DataFrame]:
-    """(report, drawn) of a mix of ``total_tokens`` (default: those of all documents with a source).
+    """(report, drawn) of a mix of ``total_tokens``: by default those of all documents with a source,
+    of which short sources then give less than their share; with ``"reachable"`` the most
+    that all sources can fill to their share without repeating beyond ``max_repeats``.
 
     ``targets`` has ``source``, ``target_share`` and ``max_repeats``, one row per source,
     at most 100,000; shares are taken as they are. ``report`` has a row per target: ``source`` as
@@ -122,8 +124,12 @@ def mix(
     wanted = [g["key"] for g in goals]
     label = F.when(F.col("key").isin(wanted), F.col("key")) if wanted else F.lit(None).cast("string")
     totals = {r["key"]: r for r in counted.groupBy(label.alias("key")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
-    everything = sum(r["tokens"] for r in totals.values()) if total_tokens is None else total_tokens
     tokens = [totals[k]["tokens"] if k in totals else 0 for k in wanted]
+    if total_tokens == "reachable":
+        most = [max(int(g["max_repeats"] or 0), 0) * t / g["target_share"] for g, t in zip(goals, tokens) if (g["target_share"] or 0) > 0]
+        everything = math.floor(min(most, default=0))
+    else:
+        everything = sum(r["tokens"] for r in totals.values()) if total_tokens is None else int(total_tokens)
     goal_rows = [(g["key"], max(1, math.ceil((totals[g["key"]]["docs"] if g["key"] in totals else 0) / SHARD_DOCS))) for g in goals]
     sharding = spark.createDataFrame(goal_rows, "key string, shards int")
 

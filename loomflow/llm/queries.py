@@ -122,6 +122,11 @@ def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the largest mix in which every source reaches its share."""
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"), total_tokens="reachable")[0]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text", grams=[(6, 3)], lines=False)
     return shares.where("n_words > 0 and words_6_3 * 100 >= 40 * n_words").select("doc_id")
@@ -181,6 +186,7 @@ def queries() -> dict:
         "p9_found": p9_found,
         "p9_report": p9_report,
         "p9_drawn": p9_drawn,
+        "p9_reached": p9_reached,
         "p10_found": p10_found,
         "p10_repetition": p10_repetition,
     }

@@ -70,6 +70,10 @@ def test_short_source_is_used_up_and_empty(spark):
     r = {x["source"]: x for x in report.collect()}
     assert r["A"]["short"] and r["A"]["drawn_tokens"] == 2 * r["A"]["available_tokens"] and not r["b"]["short"]
     assert drawn.where("source = 'A' and repeats = 2").count() == 5
+    report, drawn = mix(docs, "id", "source", "text", targets, "reachable", block_tokens=51)
+    r = {x["source"]: x for x in report.collect()}  # 5 documents twice and 10 of the others
+    assert all(abs(x["actual_share"] - 0.5) < 0.06 and not x["short"] for x in r.values())
+    assert drawn.selectExpr("max(repeats)").first()[0] == 2
     report, drawn = mix(docs.limit(0), "id", "source", "text", targets)
     assert report.count() == 2 and drawn.count() == 0 and report.where("actual_share is not null").count() == 0
     report, drawn = mix(docs, "id", "source", "text", targets.limit(0))
