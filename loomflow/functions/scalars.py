@@ -25,6 +25,11 @@ def or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half up in binary arithmetic, which any engine repeats; ``round`` of doubles differs among engines at ties."""
+    return F.floor(value * float(10**digits) + 0.5) / float(10**digits)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole as double; null where the whole is 0 or null."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomflow.functions.scalars import detailed_status, one_line, or_zero, ratio
+from loomflow.functions.scalars import detailed_status, one_line, or_zero, ratio, rounded
 from loomflow.history.model import with_counters
 from loomflow.runtime import materialize
 
@@ -29,9 +29,9 @@ def locality(facts: DataFrame, counters: DataFrame, least: float = 0.5) -> DataF
     for k in ("data", "rack", "other"):
         mine = F.col("kind") == k
         aggs += [
-            F.round(F.count_if(mine) / F.count(F.lit(1)), 6).alias(f"{k}_share"),
-            F.round(F.avg(F.when(mine, F.col("time_taken"))), 2).alias(f"{k}_ms"),
-            F.round(F.avg(F.when(mine, F.col("hdfs_bytes_read"))), 2).alias(f"{k}_bytes"),
+            rounded(F.count_if(mine) / F.count(F.lit(1)), 6).alias(f"{k}_share"),
+            rounded(F.avg(F.when(mine, F.col("time_taken"))), 2).alias(f"{k}_ms"),
+            rounded(F.avg(F.when(mine, F.col("hdfs_bytes_read"))), 2).alias(f"{k}_bytes"),
         ]
     return rows.groupBy("dag_id", "vertex_name").agg(*aggs).withColumn("poor", F.col("data_share") < least)
 
@@ -43,8 +43,8 @@ def shuffle_time(facts: DataFrame, counters: DataFrame, most_share: float = 0.5,
     work = F.col("time_taken") - or_zero(F.col("shuffle_phase_time")) - or_zero(F.col("merge_phase_time"))
     return rows.select(
         "dag_id", "vertex_name", "task_attempt_id", "reduce_input_records", "merge_phase_time", "shuffle_phase_time",
-        F.round(ratio(F.col("reduce_input_groups"), F.col("reduce_input_records")), 6).alias("groups_share"),
-        F.round(ratio(work, F.col("time_taken")), 6).alias("work_share"),
+        rounded(ratio(F.col("reduce_input_groups"), F.col("reduce_input_records")), 6).alias("groups_share"),
+        rounded(ratio(work, F.col("time_taken")), 6).alias("work_share"),
     ).withColumn("slow", (F.col("work_share") < most_share) & (F.col("reduce_input_records") > least_records))
 
 
@@ -67,7 +67,7 @@ def skew(facts: DataFrame, counters: DataFrame, shuffle_bytes: int = 900 * MIB)
         ),
         lambda x: x.isNotNull(),
     )
-    return rows.select("dag_id", "vertex_name", "task_attempt_id", "shuffle_bytes", F.round(groups, 6).alias("groups_share"), F.round(part, 6).alias("records_share"), F.explode(found).alias("finding"))
+    return rows.select("dag_id", "vertex_name", "task_attempt_id", "shuffle_bytes", rounded(groups, 6).alias("groups_share"), rounded(part, 6).alias("records_share"), F.explode(found).alias("finding"))
 
 
 def slowest_vertex(facts: DataFrame, counters: DataFrame, slow_ms: int = 100_000) -> DataFrame:
@@ -79,7 +79,7 @@ def slowest_vertex(facts: DataFrame, counters: DataFrame, slow_ms: int = 100_000
         F.max("end_time").alias("last_end"),
         F.percentile("time_taken", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.95), F.lit(0.98), F.lit(0.99))).alias("p"),
     )
-    p = [F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p75", "p95", "p98", "p99"))]
+    p = [rounded(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p75", "p95", "p98", "p99"))]
     out = out.select("dag_id", "vertex_name", "makespan_ms", "shuffle_max_ms", "last_end", *p)
     finding = (
         F.when(ratio(F.col("p75"), F.col("p99")) < 0.5, "straggler")
@@ -95,8 +95,8 @@ def slow_nodes(facts: DataFrame, counters: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_attempts")]
     for s in ("SUCCEEDED", "FAILED", "KILLED"):
         mine = F.col("status") == s
-        aggs += [F.count_if(mine).alias(f"n_{s.lower()}"), F.coalesce(F.round(F.avg(F.when(mine, F.col("time_taken"))), 2), F.lit(0.0)).alias(f"{s.lower()}_ms")]
-    aggs += [F.round(F.avg(c), 2).alias(f"mean_{c}") for c in ("hdfs_bytes_read", "shuffle_bytes")]
+        aggs += [F.count_if(mine).alias(f"n_{s.lower()}"), F.coalesce(rounded(F.avg(F.when(mine, F.col("time_taken"))), 2), F.lit(0.0)).alias(f"{s.lower()}_ms")]
+    aggs += [rounded(F.avg(c), 2).alias(f"mean_{c}") for c in ("hdfs_bytes_read", "shuffle_bytes")]
     return rows.groupBy("node_id").agg(*aggs)
 
 
@@ -116,7 +116,7 @@ def task_assignment(facts: DataFrame) -> DataFrame:
     """Attempts per node and their load in percent of the mean over nodes."""
     per = facts.where("node_id is not null").groupBy("node_id").agg(F.count(F.lit(1)).alias("n_attempts"))
     mean = per.agg(F.avg("n_attempts")).scalar()
-    return per.withColumn("load_percent", F.round(F.col("n_attempts") * 100 / mean, 2))
+    return per.withColumn("load_percent", rounded(F.col("n_attempts") * 100 / mean, 2))
 
 
 def result_statistics(facts: DataFrame) -> DataFrame:
@@ -194,9 +194,9 @@ def swimlanes(facts: DataFrame) -> DataFrame:
 def vertex_metrics(facts: DataFrame) -> DataFrame:
     """Per vertex: attempts, least, most and mean time, mean time from creation to allocation and to start."""
     taken = F.when(F.col("time_taken") >= 0, F.col("time_taken"))
-    waited = lambda a, b: F.round(F.avg(F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(b) - F.col(a))), 2)
+    waited = lambda a, b: rounded(F.avg(F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(b) - F.col(a))), 2)
     return facts.groupBy("dag_id", "vertex_name").agg(
-        F.count(F.lit(1)).alias("n_attempts"), F.min(taken).alias("least_ms"), F.max(taken).alias("most_ms"), F.round(F.avg(taken), 2).alias("mean_ms"),
+        F.count(F.lit(1)).alias("n_attempts"), F.min(taken).alias("least_ms"), F.max(taken).alias("most_ms"), rounded(F.avg(taken), 2).alias("mean_ms"),
         waited("creation_time", "allocation_time").alias("to_allocation_ms"), waited("allocation_time", "start_time").alias("to_start_ms"),
     )
 
@@ -283,7 +283,7 @@ def critical_path_notes(path: DataFrame, facts: DataFrame, slower: float = 1.25)
     mean = facts.where("time_taken >= 0").groupBy("dag_id", "vertex_id").agg(F.avg("time_taken").alias("mean"))
     rows = path.join(facts.select("task_attempt_id", "vertex_id", "time_taken", "creation_time", "allocation_time"), "task_attempt_id").join(mean, ["dag_id", "vertex_id"], "left")
     wait = F.when((F.col("creation_time") > 0) & (F.col("allocation_time") > 0), F.col("allocation_time") - F.col("creation_time"))
-    return rows.select("dag_id", "step", "task_attempt_id", "reason", F.round("mean", 2).alias("vertex_mean_ms"), (F.col("time_taken") > slower * F.col("mean")).alias("straggler"), wait.alias("allocation_wait_ms"))
+    return rows.select("dag_id", "step", "task_attempt_id", "reason", rounded(F.col("mean"), 2).alias("vertex_mean_ms"), (F.col("time_taken") > slower * F.col("mean")).alias("straggler"), wait.alias("allocation_wait_ms"))
 
 
 def allocation_notes(path: DataFrame, facts: DataFrame) -> DataFrame:
@@ -313,5 +313,5 @@ def waves(facts: DataFrame) -> DataFrame:
     """Per vertex: tasks, most attempts at once, and waves = tasks / that, to one decimal."""
     most = task_concurrency(facts).groupBy("vertex_id").agg(F.max("running").alias("most_running"))
     tasks = facts.where("vertex_id is not null").groupBy("vertex_id").agg(F.count_distinct("task_id").alias("n_tasks"))
-    return tasks.join(most, "vertex_id").where("most_running > 0").select("vertex_id", "n_tasks", "most_running", F.round(F.col("n_tasks") / F.col("most_running"), 1).alias("waves"))
+    return tasks.join(most, "vertex_id").where("most_running > 0").select("vertex_id", "n_tasks", "most_running", rounded(F.col("n_tasks") / F.col("most_running"), 1).alias("waves"))
 

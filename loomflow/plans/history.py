@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomflow.history import analyzers, model
+from loomflow.runtime import materialize
 from loomflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    facts = _facts(spark, sf_dir)
+    facts = materialize(_facts(spark, sf_dir), "facts")  # read for the attempts and for their counters
     return facts, model.derived_counters(facts)
 
 
@@ -175,7 +176,7 @@ def hung_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 select counter_group, counter_name, cast(coalesce(a, 0) as bigint) as first_total, cast(coalesce(b, 0) as bigint) as second_total, cast(coalesce(b, 0) - coalesce(a, 0) as bigint) as delta from t""")
 def counter_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of succeeded attempts against those of all others."""
-    facts = _facts(spark, sf_dir)
+    facts = materialize(_facts(spark, sf_dir), "facts")
     return analyzers.counter_difference(model.derived_counters(facts.where("status = 'SUCCEEDED'")), model.derived_counters(facts.where("status <> 'SUCCEEDED'")))
 
 
@@ -232,7 +233,7 @@ m as (select dag_id, vertex_id, avg(time_taken) as mean from f where time_taken
 select path.dag_id, step, path.task_attempt_id, reason, round(mean, 2) as vertex_mean_ms, time_taken > 1.25 * mean as straggler, case when creation_time > 0 and allocation_time > 0 then allocation_time - creation_time end as allocation_wait_ms
 from path join f on f.task_attempt_id = path.task_attempt_id left join m on m.dag_id = path.dag_id and m.vertex_id = f.vertex_id""")
 def critical_path_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
+    facts = materialize(_facts(spark, sf_dir), "facts")
     return analyzers.critical_path_notes(analyzers.critical_path(facts, model.chain_edges(_vertices(spark, sf_dir))), facts)
 
 
@@ -244,13 +245,28 @@ k as (select a, count(*) as lost from o join g on g.dag_id = o.dag_id and g.vert
 select dag_id, step, a as task_attempt_id, y - x as wait_ms, cast(coalesce(busy, 0) as bigint) as busy_ms, coalesce(lost, 0) as preempted,
   case when coalesce(busy, 0) = 0 then 'newly allocated' when busy >= y - x then 'fully used' else 'partly used' end as note from o left join b using (a) left join k using (a)""")
 def allocation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
+    facts = materialize(_facts(spark, sf_dir), "facts")
     return analyzers.allocation_notes(analyzers.critical_path(facts, model.chain_edges(_vertices(spark, sf_dir))), facts)
 
 
+def _rounding(sql: str) -> str:
+    """Writes ``round(x, d)`` as ``scalars.rounded`` has it."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, comma, i = 1, 0, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            comma = i if sql[i] == "," and depth == 1 else comma
+            i += 1
+        scale = 10 ** int(sql[comma + 1 : i - 1])
+        out += sql[at:start] + f"(floor(({sql[start + 6 : comma]}) * {scale}.0::double + 0.5) / {scale})"
+        at = i
+    return out + sql[at:]
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: _rounding(sql) for name, sql in SQL.items()}
