@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.operators import features, heavy, intervals, logs, packed
-from loomflow.plans.pipeline_sql import P3_FOUND_SQL, P5_FOUND_SQL
+from loomflow.plans.pipeline_sql import P3_ENTRIES_SQL, P3_FOUND_SQL, P5_FOUND_SQL
 from loomflow.sources.tables import table
 
 
@@ -122,4 +122,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p2_stats": P2_STATS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_results": P7_RESULTS_SQL}
+    return {"p2_found": P2_FOUND_SQL, "p2_stats": P2_STATS_SQL, "p3_found": P3_FOUND_SQL, "p3_entries": P3_ENTRIES_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_results": P7_RESULTS_SQL}
