@@ -110,6 +110,19 @@ P8_PASSAGES_SQL = P8_RUNS_SQL + "select doc_id, item_id, cast(n_words as integer
 P8_ITEMS_SQL = P8_RUNS_SQL + "select item_id, count(*) as n_docs, cast(max(n_words) as integer) as longest from b where rn = 1 group by 1"
 
 
+P8_NEAR_SQL = f"""
+with d as (select doc_id, unnest(range(1, len(w) + 1)) as k, unnest(w) as term from (select doc_id, {WORDS_SQL} as w from documents where doc_id is not null)),
+f as (select term, count(distinct doc_id) as df from d group by 1),
+i as (select distinct item_id, unnest({WORDS_SQL}) as term from eval_items where item_id is not null),
+c as (select *, count(*) over (partition by item_id) as n from (select item_id, term, row_number() over (partition by item_id order by df, term) as r from i join f using (term)) where r <= 8),
+p as (select doc_id, item_id, k - 1 as p, term from d join c using (term) where n >= 7),
+o as (select doc_id, item_id from p group by 1, 2 having count(distinct term) >= 7),
+w as (select a.doc_id, a.item_id, a.p, count(distinct b.term) as n, min(b.p) as s from o join p a using (doc_id, item_id) join p b on b.doc_id = a.doc_id and b.item_id = a.item_id and b.p <= a.p and b.p > a.p - 60 group by 1, 2, 3),
+x as (select *, row_number() over (partition by doc_id, item_id order by n desc, p) as r from w)
+select doc_id, item_id, cast(n as integer) as n_words, cast(s as integer) as doc_word from x where r = 1 and n >= 7
+"""
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_report(spark, sf_dir).where("short").select("source")
 
@@ -193,4 +206,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_items": P8_ITEMS_SQL, "p10_found": P10_FOUND_SQL, "p10_repetition": P10_REPETITION_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_items": P8_ITEMS_SQL, "p8_near": P8_NEAR_SQL, "p10_found": P10_FOUND_SQL, "p10_repetition": P10_REPETITION_SQL}
