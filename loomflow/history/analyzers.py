@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomflow.functions.scalars import detailed_status, one_line, or_zero, ratio, rounded
 from loomflow.history.model import with_counters
+from loomflow.operators.running import previous, running_sum
 from loomflow.runtime import materialize
 
 MIB = 1 << 20
+_SHARES = (0.5, 0.75, 0.95, 0.98, 0.99)
 
 
 def container_reuse(facts: DataFrame) -> DataFrame:
@@ -70,14 +71,19 @@ def skew(facts: DataFrame, counters: DataFrame, shuffle_bytes: int = 900 * MIB)
     return rows.select("dag_id", "vertex_name", "task_attempt_id", "shuffle_bytes", rounded(groups, 6).alias("groups_share"), rounded(part, 6).alias("records_share"), F.explode(found).alias("finding"))
 
 
-def slowest_vertex(facts: DataFrame, counters: DataFrame, slow_ms: int = 100_000) -> DataFrame:
-    """Per vertex: makespan, longest shuffle, percentiles of attempt times, and a ``finding``."""
+def slowest_vertex(facts: DataFrame, counters: DataFrame, slow_ms: int = 100_000, exact: bool = True) -> DataFrame:
+    """Per vertex: makespan, longest shuffle, percentiles of attempt times, and a ``finding``.
+
+    Exact percentiles hold a vertex's distinct times in one task; without ``exact`` they come from
+    mergeable summaries of bounded size, with a rank error of at most 1 in 10,000.
+    """
     rows = with_counters(facts.where("start_time > 0 and end_time >= start_time"), counters, ["SHUFFLE_PHASE_TIME"])
+    shares = F.array(*[F.lit(q) for q in _SHARES])
     out = rows.groupBy("dag_id", "vertex_name").agg(
         (F.max("end_time") - F.min("start_time")).alias("makespan_ms"),
         F.max(or_zero(F.col("shuffle_phase_time"))).alias("shuffle_max_ms"),
         F.max("end_time").alias("last_end"),
-        F.percentile("time_taken", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.95), F.lit(0.98), F.lit(0.99))).alias("p"),
+        (F.percentile("time_taken", shares) if exact else F.percentile_approx("time_taken", list(_SHARES), 10_000)).alias("p"),
     )
     p = [rounded(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p75", "p95", "p98", "p99"))]
     out = out.select("dag_id", "vertex_name", "makespan_ms", "shuffle_max_ms", "last_end", *p)
@@ -140,8 +146,7 @@ def task_concurrency(facts: DataFrame) -> DataFrame:
     rows = facts.where("start_time > 0 and end_time >= start_time and vertex_id is not null")
     steps = rows.select("dag_id", "vertex_id", F.explode(F.array(F.struct(F.col("start_time").alias("at_ms"), F.lit("START").alias("kind"), F.lit(0).alias("o"), F.lit(1).alias("d")), F.struct(F.col("end_time").alias("at_ms"), F.lit("FINISH").alias("kind"), F.lit(1).alias("o"), F.lit(-1).alias("d")))).alias("e")).select("dag_id", "vertex_id", "e.*")
     summed = steps.groupBy("dag_id", "vertex_id", "at_ms", "kind", "o").agg(F.sum("d").alias("d"))
-    upto = Window.partitionBy("dag_id", "vertex_id").orderBy("at_ms", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return summed.select("dag_id", "vertex_id", "at_ms", "kind", F.sum("d").over(upto).alias("running"))
+    return running_sum(summed, ["dag_id", "vertex_id"], ["at_ms", "o"], F.col("d"), "running").select("dag_id", "vertex_id", "at_ms", "kind", "running")
 
 
 def one_to_one_edges(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,9 +191,10 @@ def counter_difference(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def swimlanes(facts: DataFrame) -> DataFrame:
     """Lanes of a drawing: per container its attempts in order of start, with the idle time before."""
-    order = Window.partitionBy("container_id").orderBy("start_time", "task_attempt_id")
-    rows = facts.where("container_id is not null and start_time > 0 and end_time >= start_time")
-    return rows.select("container_id", "task_attempt_id", "start_time", "end_time", F.row_number().over(order).alias("place"), (F.col("start_time") - F.lag("end_time").over(order)).alias("idle_ms"))
+    rows = facts.where("container_id is not null and start_time > 0 and end_time >= start_time").select("container_id", "task_attempt_id", "start_time", "end_time")
+    keys, order = ["container_id"], ["start_time", "task_attempt_id"]
+    rows = previous(running_sum(rows, keys, order, F.lit(1), "place"), keys, order, "end_time", "before")
+    return rows.select("container_id", "task_attempt_id", "start_time", "end_time", F.col("place").cast("int").alias("place"), (F.col("start_time") - F.col("before")).alias("idle_ms"))
 
 
 def vertex_metrics(facts: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loomflow.operators.running import running_sum
 
 
 def partition_sort(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -28,9 +29,9 @@ def secondary_sort(df: DataFrame, group: str, second: str) -> DataFrame:
 
 
 def secondary_rank(df: DataFrame, group: str, second: Sequence[str]) -> DataFrame:
-    """``secondary_sort`` with the place of each row in its group (``rank_no``), as a streaming
-    window over the sorted partitions. Duplicates get places of their own."""
-    return df.withColumn("rank_no", F.row_number().over(Window.partitionBy(group).orderBy(*second)))
+    """``secondary_sort`` with the place of each row in its group (``rank_no``). Duplicates get places of
+    their own. A group too large for one task is ranked in ranges; see ``running``."""
+    return running_sum(df, [group], second, F.lit(1), "rank_no").withColumn("rank_no", F.col("rank_no").cast("int"))
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

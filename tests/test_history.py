@@ -101,6 +101,15 @@ def test_skew_thresholds(spark, facts):
     assert got == {("v1_00_0", "skew above 0.6"), ("v0_00_0", "skew above 0.4"), ("v0_01_0", "skew above 0.4"), ("v0_00_0", "partitioning"), ("v0_01_0", "parallelism")}
 
 
+def test_slowest_vertex_exact_and_summarised(spark, facts):
+    c = counters(spark, [("v1_00_1", "SHUFFLE_PHASE_TIME", 200), ("v0_00_0", "SHUFFLE_PHASE_TIME", 1)])
+    got = {r.vertex_name: r for r in analyzers.slowest_vertex(facts, c, slow_ms=100).collect()}
+    assert (got["V1"].makespan_ms, got["V1"].shuffle_max_ms, got["V1"].last_end, got["V1"].p50) == (250, 200, 500, 45)
+    assert got["V1"].finding == "straggler" and got["V0"].finding == "slow vertex"
+    near = {r.vertex_name: r for r in analyzers.slowest_vertex(facts, c, exact=False).collect()}
+    assert near["V1"].p99 == 200 and near["V0"].p50 == 100
+
+
 def test_counter_difference_missing_is_zero(spark):
     got = {r.counter_name: (r.first_total, r.second_total, r.delta) for r in analyzers.counter_difference(counters(spark, [("a", "X", 5), ("a", "Y", 1)]), counters(spark, [("b", "X", 2), ("b", "Z", 4)])).collect()}
     assert got == {"X": (5, 2, -3), "Y": (1, 0, -1), "Z": (0, 4, 4)}
