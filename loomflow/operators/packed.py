@@ -79,7 +79,8 @@ def _blank(field: Column) -> Column:
 
 def table_list(field: Column) -> Column:
     """Items of a packed list of names: comma, semicolon, bar and white space separate,
-    brackets around the whole list are no part of it, quotes and escapes neither."""
+    brackets around the whole list are no part of it, quotes and escapes neither.
+    A null, blank or `None` field gives null, a list of nothing an empty array; repeated names stay."""
     whole = F.regexp_replace(_blank(field), r"^\s+|\s+$", "")
     inner = whole
     for a, b in (("[", "]"), ("{", "}"), ("(", ")")):
@@ -89,7 +90,8 @@ def table_list(field: Column) -> Column:
 
 def argument_list(field: Column) -> Column:
     """Items `key=value` or bare text: comma, semicolon and bar separate, blanks don't.
-    Key and value may be joined by `=`, `=>` or `:`; quotes and escapes around a value go, brackets stay."""
+    Key and value may be joined by `=`, `=>` or `:`; quotes and escapes around a value go, brackets stay.
+    A null, blank or `None` field gives null; fields of any length are folded whole."""
     joiner = r"(?s)^([\p{L}_][\p{L}\p{N}_.\-]*)\s*(?:=>|=|:(?=\s|$)|:(?!//))\s*(.*)$"
 
     def item(text: Column) -> Column:
