@@ -70,15 +70,6 @@ def composite_join(sources: Sequence[DataFrame], on: str, value: str, op: str =
     return joined
 
 
-def last_source(sources: Sequence[DataFrame], on: str) -> DataFrame:
-    """Which source wins per key under ``override``."""
-    rows = None
-    for i, s in enumerate(sources):
-        part = s.select(on, F.lit(i).alias("source"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy(on).agg(F.max("source").alias("source"))
-
-
 def broadcast_one_to_one_sum(own: DataFrame, shared: DataFrame, value: str, shared_value: str, result: str) -> DataFrame:
     """Each row's value plus the sum of all values of ``shared``: a scalar subquery, one row."""
     total = shared.agg(F.coalesce(F.sum(shared_value), F.lit(0))).scalar()

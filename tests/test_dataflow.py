@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomflow.functions import udfs
+from loomflow.functions import scalars, udfs
 from loomflow.metrics import observed
 from loomflow.operators import aggregates, cartesian, exchange, joins, sets, sorts, text
 from loomflow.sources import splits
@@ -144,3 +144,37 @@ def test_split_groups():
     groups = splits.group_splits([(10, "a"), (10, "b"), (10, "a"), (10, "b"), (10, None)], 2)
     assert sorted(i for g in groups for i in g) == [0, 1, 2, 3, 4] and len(groups) == 2
     assert splits.group_splits([], 3) == []
+
+
+def test_more_exchanges_and_hooks(spark):
+    df = spark.range(100)
+    assert exchange.round_robin(df, 5).rdd.getNumPartitions() == 5
+    placed = exchange.by_range(df, ["id"], 4).select("id", F.spark_partition_id().alias("p")).collect()
+    assert all(a.id < b.id for a in placed for b in placed if a.p < b.p)
+    with pytest.raises(ValueError):
+        exchange.durable(df, "forever")
+    assert udfs.processor(df, lambda parts: (p[p["id"] > 97] for p in parts), "id long").count() == 2
+    span = aggregates.reduce_groups(df.selectExpr("id % 2 as g", "id"), ["g"], lambda p: pd.DataFrame({"g": p["g"][:1], "n": [len(p)]}), "g long, n long")
+    assert sorted(map(tuple, span.collect())) == [(0, 50), (1, 50)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert splits.configure(spark, 4 << 30, slots=16) == 27
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_byte_order(spark):
+    values = ["b", "a", "\u00e9", "Z", "a\u0000"]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    assert [r.t for r in df.orderBy(sorts.byte_order("t")).collect()] == sorted(values, key=str.encode)
+
+
+def test_scalars(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = lambda v: F.lit(v).cast("long")
+    assert one(scalars.whole_ms(F.lit("2024-01-01 00:00:00.123999").cast("timestamp"))) == 1_704_067_200_123
+    assert one(scalars.post_data_ms(lit(10), lit(50), lit(30))) == 20
+    assert one(scalars.post_data_ms(lit(10), lit(50), lit(None))) == 40
+    assert one(scalars.post_data_ms(lit(0), lit(50), lit(30))) == one(scalars.post_data_ms(lit(None), lit(50), lit(30))) == -1
+    assert one(scalars.locality_class(lit(None), lit(1), lit(1))) == "RACK_LOCAL"
+    assert one(scalars.detailed_status(F.lit("KILLED"), F.lit("LOST"))) == "KILLED:LOST" and one(scalars.detailed_status(F.lit("KILLED"), F.lit(""))) == "KILLED"
+    assert one(scalars.one_line(F.lit("a,b\nc"))) == "a b c" and one(scalars.ratio(lit(1), lit(0))) is None
+    assert one(scalars.rounded(F.lit(2.675), 2)) == 2.68 and one(scalars.rounded(F.lit(-1.5), 0)) == -1.0
