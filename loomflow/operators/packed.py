@@ -21,6 +21,18 @@ def pieces(field: Column) -> Column:
     return F.regexp_extract_all(field, F.lit(rf"(?s)(?:{_LITERAL})|[^\"'`]+|[\"'`]"), F.lit(0))
 
 
+_QUOTES, _BLANKS = ("\"", "'", "`"), " \t\n\x0b\f\r"
+
+
+def _quoted(text: Column) -> Column:
+    """Of a piece: whether it is a literal; of any text: whether it may be one."""
+    return F.substring(text, 1, 1).isin(*_QUOTES) & (F.length(text) > 1)
+
+
+def _trim(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANKS))
+
+
 def is_literal(piece: Column) -> Column:
     return piece.rlike(rf"(?s)^(?:{_LITERAL.replace(r'(?<![\p{L}\p{N}])', '')})$")
 
@@ -33,30 +45,30 @@ def unquoted(literal: Column) -> Column:
     return F.regexp_replace(inner, r"(?s)\\(.)", "$1")
 
 
-def fold_items(field: Column, delimiters: str, keep_quotes: bool) -> Column:
+def fold_items(field: Column, marks: str, keep_quotes: bool) -> Column:
     """array<string> of the items of one field, blanks around them cut, empty ones left out.
 
-    ``delimiters`` goes into a character class. With ``keep_quotes`` literals stay as
+    ``marks`` are the delimiters, a character each. With ``keep_quotes`` literals stay as
     written, else they are put in without quotes and escapes. A closing bracket that
     none opened is an ordinary character; an opening one that none closes reaches to
     the field's end.
     """
+    delimiters = "".join(rf"\x{ord(c):02x}" for c in marks)
     plain = F.lit(rf"[{delimiters}]|[\[\](){{}}]|[^{delimiters}\[\](){{}}]+")
     split = F.transform(
         pieces(field),
-        lambda p: F.when(is_literal(p), F.array(F.struct(F.lit("q").alias("kind"), (p if keep_quotes else unquoted(p)).alias("text"))))
+        lambda p: F.when(_quoted(p), F.array(F.struct(F.lit("q").alias("kind"), (p if keep_quotes else unquoted(p)).alias("text"))))
         .otherwise(
             F.transform(
                 F.regexp_extract_all(p, plain, F.lit(0)),
                 lambda t: F.struct(
-                    F.when(t.rlike(r"^[\[({]$"), F.lit("o")).when(t.rlike(r"^[\])}]$"), F.lit("c")).when(t.rlike(rf"^[{delimiters}]$"), F.lit("d")).otherwise(F.lit("t")).alias("kind"),
+                    F.when(t.isin("[", "(", "{"), F.lit("o")).when(t.isin("]", ")", "}"), F.lit("c")).when(t.isin(*marks), F.lit("d")).otherwise(F.lit("t")).alias("kind"),
                     t.alias("text"),
                 ),
             )
         ),
     )
-    trim = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
-    keep = lambda done, cur: F.when(trim(cur) == "", done).otherwise(F.concat(done, F.array(trim(cur))))
+    keep = lambda done, cur: F.when(_trim(cur) == "", done).otherwise(F.concat(done, F.array(_trim(cur))))
 
     def step(acc: Column, piece: Column) -> Column:
         kind, text = piece["kind"], piece["text"]
@@ -81,11 +93,11 @@ def table_list(field: Column) -> Column:
     """Items of a packed list of names: comma, semicolon, bar and white space separate,
     brackets around the whole list are no part of it, quotes and escapes neither.
     A null, blank or `None` field gives null, a list of nothing an empty array; repeated names stay."""
-    whole = F.regexp_replace(_blank(field), r"^\s+|\s+$", "")
+    whole = _trim(_blank(field))
     inner = whole
     for a, b in (("[", "]"), ("{", "}"), ("(", ")")):
         inner = F.when(whole.startswith(a) & whole.endswith(b), F.substring(whole, F.lit(2), F.length(whole) - 2)).otherwise(inner)
-    return fold_items(inner, r",;|\s", keep_quotes=False)
+    return fold_items(inner, ",;|" + _BLANKS, keep_quotes=False)
 
 
 def argument_list(field: Column) -> Column:
@@ -96,7 +108,7 @@ def argument_list(field: Column) -> Column:
 
     def item(text: Column) -> Column:
         key, value = F.regexp_extract(text, joiner, 1), F.regexp_extract(text, joiner, 2)
-        bare = lambda v: F.when(is_literal(v), unquoted(v)).otherwise(v)
+        bare = lambda v: F.when(_quoted(v) & is_literal(v), unquoted(v)).otherwise(v)
         return F.when(key != "", F.concat(key, F.lit("="), bare(value))).otherwise(bare(text))
 
     return F.transform(fold_items(_blank(field), ",;|", keep_quotes=True), item)
