@@ -163,11 +163,8 @@ def _pairs(line: str) -> list[tuple[str, str]]:
 _PAIRS, _ESCAPE = re.compile(_PAIR), re.compile(r"\\(.)")
 
 
-def _roles(keyed: DataFrame, support: int) -> dict[str, list[str]]:
-    """Which keys hold times, levels, components and messages, by the class of nearly all their values.
-
-    Only keys of enough support come to the driver, at most lines x keys / support.
-    """
+def _key_counts(keyed: DataFrame) -> DataFrame:
+    """(k, n, times, levels, names, texts): how often each key occurs, and with values of each class."""
     is_time, is_name, blank = re.compile(_TIME), re.compile(_NAME), re.compile(r"\s")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,34 +185,78 @@ def _roles(keyed: DataFrame, support: int) -> dict[str, list[str]]:
 
     names = ["k", "n", "times", "levels", "names", "texts"]
     partial = keyed.select("line").mapInArrow(count, "k string, n long, times long, levels long, names long, texts long")
-    counts = partial.groupBy("k").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    roles: dict[str, list[str]] = {"time": [], "level": [], "component": [], "message": []}
-    for r in counts.where(F.col("n") >= support).orderBy(F.col("n").desc(), "k").collect():
-        for role, column in (("time", "times"), ("level", "levels"), ("component", "names"), ("message", "texts")):
-            if r[column] >= 0.9 * r["n"]:
-                roles[role].append(r["k"])
-                break
+    return materialize(partial.groupBy("k").agg(*[F.sum(c).alias(c) for c in names[1:]]), "log-keys")
+
+
+def _roles(counts: DataFrame, support: int) -> dict[str, int | None]:
+    """Which keys hold times, levels, components and messages (0 to 3), by the class of nearly all their values.
+
+    Only keys of enough support come to the driver, at most lines x keys / support; of
+    those without a role the value is None.
+    """
+    roles: dict[str, int | None] = {}
+    for r in counts.where(F.col("n") >= support).collect():
+        roles[r["k"]] = next((i for i, c in enumerate(("times", "levels", "names", "texts")) if r[c] >= 0.9 * r["n"]), None)
     return roles
 
 
-def _role_values(keyed: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
-    """(log, chunk, no, starts, ms, level, component, message) of lines of pairs: the first value of each role."""
-    of_key = {k: i for i, role in enumerate(("time", "level", "component", "message")) for k in roles[role]}
+def _role_values(keyed: DataFrame, counts: DataFrame, roles: dict[str, int | None]) -> DataFrame:
+    """(log, chunk, no, starts, ms, level, component, message, ranks) of lines of pairs: the first value of each role.
+
+    A role that no key of the support gives goes to a pair by its own value: a time, a level, a
+    name, a text. Of several such pairs the one whose key holds that class most wins, by ``counts`` of all keys,
+    which meet these lines in a join. ``ranks`` is 0 for a role by the key, else above 0.
+    """
+    is_time, is_name, blank = re.compile(_TIME), re.compile(_NAME), re.compile(r"\s")
+    kinds = "log string, chunk long, no long, starts boolean, given array<string>"
+    pair = pa.struct([("at", pa.int32()), ("key", pa.string()), ("value", pa.string())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[str | None]] = []
-            for line in batch.column(4).to_pylist():
+            given: list[list[str | None]] = []
+            rest: list[list[dict] | None] = []
+            for starts, line in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 row: list[str | None] = [None] * 4
-                for key, value in _pairs(line):
-                    i = of_key.get(key)
-                    if i is not None and row[i] is None:
-                        row[i] = value
+                others, classes = [], set()
+                for at, (key, value) in enumerate(_pairs(line)):
+                    if key in roles:
+                        i = roles[key]
+                        if i is not None and row[i] is None:
+                            row[i] = value
+                    elif own := own_classes(value):
+                        others.append({"at": at, "key": key, "value": value})
+                        classes |= own
+                able = classes | {i for i in range(4) if row[i] is not None}
+                wanted = classes & {i for i in range(4) if row[i] is None}
+                given.append(row)
+                rest.append(others if wanted and (not starts or able >= {0, 1, 2}) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(given, pa.list_(pa.string())), pa.array(rest, pa.list_(pair))], names=["log", "chunk", "no", "starts", "given", "rest"])
+
+    def own_classes(value: str) -> set[int]:
+        return {i for i, hit in enumerate((is_time.fullmatch(value) and written_time_ms(value) is not None, value.upper() in LEVELS, is_name.fullmatch(value), blank.search(value))) if hit}
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, ranks = [], []
+            for row, pairs in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                rank, taken = [0.0] * 4, set()
+                for i in range(4):
+                    able = [] if row[i] is not None else [((p["shares"][i] < 0.9 and 2 - p["shares"][i]) or (1.0 if p["n"] < 3 else 0.5), p["at"], p["value"]) for p in pairs or () if p["at"] not in taken and i in own_classes(p["value"])]
+                    if able:
+                        rank[i], at, row[i] = min(able)
+                        taken.add(at)
                 found.append(row)
-            values = [pa.array([written_time_ms(r[0]) for r in found], pa.int64()), pa.array([level_name(r[1]) for r in found], pa.string()), *[pa.array([r[i] for r in found], pa.string()) for i in (2, 3)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *values], names=["log", "chunk", "no", "starts", "ms", "level", "component", "message"])
+                ranks.append(rank)
+            values = [pa.array([written_time_ms(r[0]) for r in found], pa.int64()), pa.array([level_name(r[1]) for r in found], pa.string()), *[pa.array([r[i] for r in found], pa.string()) for i in (2, 3)], pa.array(ranks, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *values], names=["log", "chunk", "no", "starts", "ms", "level", "component", "message", "ranks"])
 
-    return keyed.select("log", "chunk", "no", "starts", "line").mapInArrow(extract, "log string, chunk long, no long, starts boolean, ms long, level string, component string, message string")
+    lines = materialize(keyed.select("log", "chunk", "no", "starts", "line").mapInArrow(extract, f"{kinds}, rest array<struct<at:int,key:string,value:string>>"), "log-pairs")
+    shares = counts.select(F.col("k").alias("key"), "n", F.array(*[F.col(c) / F.col("n") for c in ("times", "levels", "names", "texts")]).alias("shares"))
+    of_line = ["log", "chunk", "no"]
+    weighed = lines.where("rest is not null").select(*of_line, "starts", "given", F.inline("rest")).join(shares, "key")
+    ranked = weighed.groupBy(*of_line).agg(F.first("starts").alias("starts"), F.first("given").alias("given"), F.collect_list(F.struct("at", "value", "n", "shares")).alias("pairs"))
+    plain = lines.where("rest is null").select(*of_line, "starts", "given", F.lit(None).cast(ranked.schema["pairs"].dataType).alias("pairs"))
+    return plain.unionByName(ranked).mapInArrow(choose, "log string, chunk long, no long, starts boolean, ms long, level string, component string, message string, ranks array<double>")
 
 
 def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool = False) -> DataFrame:
@@ -230,8 +271,8 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
     A line begins an entry if its template is frequent (``support``, default 1 in 2000 lines,
     3 at least), begins with a time, level, component or bracket, and ends with a mark. Fallback rules: a rarer
     template counts if it holds nothing but time, level, component, groups, numbers and
-    marks; a line of pairs counts if its keys give time, level and component; so does a
-    line `{` whose following lines do. Indented lines, quoted ones (`>`) and all others
+    marks; a line of pairs counts if its keys give time, level and component, or, for keys below
+    the support, its own values do; so does a line `{` whose following lines do. Indented lines, quoted ones (`>`) and all others
     continue the entry before them.
     """
     base = lines.select(F.col("log_id").cast("string").alias("log"), F.col("line_no").cast("long").alias("no"), F.coalesce(F.col("line").cast("string"), F.lit("")).alias("line"))
@@ -243,7 +284,8 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
     pair_line = F.col("line").rlike(r'^\{\s*"|^[A-Za-z_][\w.-]*=')
     body_line = F.col("line").rlike(r'^\s+"[A-Za-z_][\w.-]*"\s*:')
     keyed = rows.where(pair_line | body_line).withColumn("starts", pair_line)
-    roles = _roles(keyed, least)
+    counts = _key_counts(keyed)
+    roles = _roles(counts, least)
 
     plain = materialize(_heads(rows.where(outer & ~pair_line)), "log-heads")
     frequent = _frequent(plain, least).withColumn("mined", F.lit(True))
@@ -259,20 +301,20 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
         F.regexp_replace(rest, r"^(?::\d+)?[\s|:)\]}-]+", "").alias("message"),
     ).where("ms is not null and level is not null")
 
-    valued = _role_values(keyed, roles)
-    whole = valued.where("starts and ms is not null and level is not null and component is not null").select("log", "chunk", "no", F.lit("head").alias("kind"), "ms", "level", "component", "message")
-    body = valued.where("not starts and (ms is not null or level is not null or component is not null or message is not null)").select("log", "chunk", "no", F.lit("body").alias("kind"), "ms", "level", "component", "message")
+    valued = _role_values(keyed, counts, roles)
+    filled = "starts and ms is not null and level is not null and component is not null or not starts and (ms is not null or level is not null or component is not null or message is not null)"
+    paired = valued.where(filled).select("log", "chunk", "no", F.when(F.col("starts"), "head").otherwise("body").alias("kind"), "ms", "level", "component", "message", "ranks")
     nothing = [F.lit(None).cast(k).alias(n) for n, k in (("ms", "long"), ("level", "string"), ("component", "string"), ("message", "string"))]
     brace = rows.where(F.rtrim("line") == "{").select("log", "chunk", "no", F.lit("open").alias("kind"), *nothing)
-    marks = materialize(started.unionByName(whole).unionByName(body).unionByName(brace), "log-marks")
+    marks = materialize(started.unionByName(brace).unionByName(paired, allowMissingColumns=True), "log-marks")
 
     # Lines of an object go to the brace before them, across a chunk's border too.
     own = _carry(marks.withColumn("start", F.when(F.col("kind") != "body", F.col("no"))), "start").where("start is not null")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("no")))
+    first = lambda i, c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.get("ranks", F.lit(i)), "no")))
     opened = F.bool_or(F.col("kind") == "open")
     entries = own.groupBy("log", "start").agg(
         opened.alias("opened"),
-        *[F.when(opened, first(c)).otherwise(F.max(F.when(F.col("kind") == "head", F.col(c)))).alias(c) for c in ("ms", "level", "component", "message")],
+        *[F.when(opened, first(i, c)).otherwise(F.max(F.when(F.col("kind") == "head", F.col(c)))).alias(c) for i, c in enumerate(("ms", "level", "component", "message"))],
     ).where("ms is not null and level is not null and component is not null")
     entries = materialize(entries.withColumn("chunk", F.expr(f"start div {CHUNK}")), "log-entries")
 

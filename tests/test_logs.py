@@ -71,6 +71,16 @@ def test_rare_layout_by_fallback_rules(spark):
     assert got[-1][1:3] == (40, 41) and got[-1][5] == "f.Basin"
 
 
+def test_rare_keys_among_many_lines(spark):
+    rows = [("l", i, LAYOUTS[11][0]) for i in range(1, 9000)]
+    rare = ['text=done sev=warn mod=p.Q at=1704189538757', 'at=1704189538757 mod=p.Q sev=warn text="hello x"', '{"when": "2024-01-02T09:58:58.757Z", "sort": "Info", "part": "r.S", "words": "hello x"}']
+    rare += ["{", '  "words_": "done",', '  "when_": "2024-01-02T09:58:58.757Z",', '  "sort_": "Warning",', '  "part_": "k.L"', "}", "{", '  "part_": "k.L",', '  "words_": "hello x",', '  "sort_": "Warning",', '  "when_": "2024-01-02T09:58:58.757Z"', "}"]
+    got = parse(spark, rows + [("r", i, x) for i, x in enumerate(rare, 1)])
+    assert len(got) == 8999 + 5
+    assert [r[1:6] for r in got[-5:]] == [(1, 1, T0, "WARN", "p.Q"), (2, 2, T0, "WARN", "p.Q"), (3, 3, T0, "INFO", "r.S"), (4, 9, T0, "WARN", "k.L"), (10, 15, T0, "WARN", "k.L")]
+    assert [got[-k][-1] for k in (4, 3, 1)] == ["hello x"] * 3
+
+
 def test_messages_with_later_lines(spark):
     rows = [("l", 1, LAYOUTS[1][0]), ("l", 2, "more"), ("l", 3, None), ("l", 4, "end"), ("m", 7, LAYOUTS[1][0])]
     assert [r[-1] for r in parse(spark, rows, with_text=True)] == ["hello x\nmore\n\nend", "hello x"]
