@@ -23,6 +23,9 @@ from loomflow.runtime import materialize, ship
 #: Words of test items handled at once; their anchors are broadcast.
 BLOCK_WORDS = 1_000_000
 
+#: The same for windows of items, which take more room a word.
+WINDOW_BLOCK_WORDS = 100_000
+
 #: Up to so many candidate documents and starts are broadcast. More are joined by shuffle, of the
 #: documents that a bitmap of the candidates' hashes lets pass.
 BROADCAST_IDS = 20_000
@@ -106,13 +109,13 @@ def _maybe_in(rows: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     return marked.withColumn("byte", byte).where("shiftright(byte, cast(h % 8 as int)) & 1 = 1").drop("h", "piece", "bitmap", "byte")
 
 
-def _blocks(items: DataFrame, ident: str, text: str) -> Iterator[list[tuple[object, list[str]]]]:
+def _blocks(items: DataFrame, ident: str, text: str, most: int | None = None) -> Iterator[list[tuple[object, list[str]]]]:
     held, size = [], 0
     for row in items.select(ident, text).where(F.col(ident).isNotNull()).toLocalIterator():
         item = (row[0], words(row[1]))
         held.append(item)
         size += len(item[1])
-        if size >= BLOCK_WORDS:
+        if size >= (most or BLOCK_WORDS):
             yield held
             held, size = [], 0
     if held:
@@ -152,7 +155,8 @@ def proximity_matches(
     """Documents that hold ``least`` or more of an item's ``rarest`` rarest distinct words within
     ``span`` successive words, in any order: (doc_id, item_id, ``n_words`` the most of
     them in one such span, ``doc_word`` where it begins). It finds edited passages that share no
-    long run. Words that no document has aren't taken; items left with fewer than
+    long run, of whole items up to ``span`` words; for longer items and parts of items see
+    ``window_matches``. Words that no document has aren't taken; items left with fewer than
     ``least`` words match nothing. Nulls, empty texts and blocks as in ``leaked_passages``.
     """
     spark = docs.sparkSession
@@ -199,6 +203,69 @@ def proximity_matches(
     return found
 
 
+def window_matches(
+    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 24, rarest: int = 8, least: int = 7, span: int = 60
+) -> DataFrame:
+    """As ``proximity_matches``, but the rarest words are taken of every window of ``window`` successive
+    words of an item, of the whole item if it is shorter: so a passage of a window's length is found wherever in
+    an item it is from, edited too while ``least`` of the window's rarest words are left within ``span``.
+    Windows of fewer than ``least`` distinct words match nothing. A document is read where it is,
+    no index is stored; items come in blocks of WINDOW_BLOCK_WORDS words. One row per (doc_id, item_id), repeated ids
+    joined: ``n_words`` is the most words of a window within one span, ``doc_word`` where it begins.
+    """
+    spark = docs.sparkSession
+    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+    found: DataFrame | None = None
+    for block in _blocks(items, item_id, item_text, WINDOW_BLOCK_WORDS):
+        frequency = document_frequencies(docs, text, {w for _, t in block for w in t})
+        chosen: dict[tuple[int, tuple[str, ...]], None] = {}
+        for k, (_, t) in enumerate(block):
+            for start in range(max(1, len(t) - window + 1)):
+                rare = sorted({w for w in t[start : start + window] if frequency.get(w)}, key=lambda w: (frequency[w], w))[:rarest]
+                if len(rare) >= least:
+                    chosen[(k, tuple(rare))] = None
+        if not chosen:
+            continue
+        # Of a window's n words all but n - least occur, so one of its n - least + 1 rarest does.
+        windows, starting = list(chosen), {}
+        for n, (_, rare) in enumerate(windows):
+            for w in rare[: len(rare) - least + 1]:
+                starting.setdefault(w, []).append(n)
+        shared = spark.sparkContext.broadcast((windows, starting, {w for _, rare in windows for w in rare}))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            windows, starting, known = shared.value
+            for batch in batches:
+                rows, out = [], []
+                for r, value in enumerate(batch.column(1)):
+                    have: dict[str, list[int]] = {}
+                    for at, word in enumerate(words(value.as_py())):
+                        if word in known:
+                            have.setdefault(word, []).append(at)
+                    best: dict[int, tuple[int, int]] = {}
+                    for n in {n for w in have for n in starting.get(w, ())}:
+                        k, rare = windows[n]
+                        mine = [w for w in rare if w in have]
+                        if len(mine) >= least:
+                            most, begin = _densest(sorted((p, w) for w in mine for p in have[w]), span)
+                            if most >= least:
+                                best[k] = max(best.get(k, (0, 0)), (most, -begin))
+                    rows += [r] * len(best)
+                    out += [(k, most, -begin) for k, (most, begin) in best.items()]
+                columns = [pa.array([x[i] for x in out], pa.int32()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["doc", "item", "n_words", "doc_word"])
+
+        near = source.mapInArrow(search, f"doc {kind}, item int, n_words int, doc_word int")
+        names = spark.createDataFrame([(k, ident) for k, (ident, _) in enumerate(block)], f"item int, name {item_kind}")
+        part = near.join(F.broadcast(names), "item").select(F.col("doc").alias(doc_id), F.col("name").alias(item_id), "n_words", "doc_word")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], f"`{doc_id}` {kind}, `{item_id}` {item_kind}, n_words int, doc_word int")
+    best = found.groupBy(doc_id, item_id).agg(F.max(F.struct("n_words", -F.col("doc_word"))).alias("__best"))
+    return best.select(doc_id, item_id, F.col("__best")["n_words"].alias("n_words"), (-F.col("__best")["col2"]).alias("doc_word"))
+
+
 def _densest(places: list[tuple[int, int]], span: int) -> tuple[int, int]:
     """Most distinct terms within ``span`` successive words, and where the first such span begins."""
     inside, begin, best = Counter(), 0, (0, 0)

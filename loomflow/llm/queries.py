@@ -88,6 +88,12 @@ def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.proximity_matches(docs, "doc_id", "text", items, "item_id", "text")
 
 
+def p8_near_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with most of the rarest words of any 24 successive words of an item close together, in any order."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leakage.window_matches(docs, "doc_id", "text", items, "item_id", "text")
+
+
 WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 P8_FOUND_SQL = f"""
@@ -199,6 +205,7 @@ def queries() -> dict:
         "p8_passages": p8_passages,
         "p8_items": p8_items,
         "p8_near": p8_near,
+        "p8_near_windows": p8_near_windows,
         "p9_found": p9_found,
         "p9_report": p9_report,
         "p9_drawn": p9_drawn,

@@ -2,7 +2,7 @@
 
 import random
 
-from loomflow.llm.leakage import anchored_windows, leaked_passages, proximity_matches
+from loomflow.llm.leakage import anchored_windows, leaked_passages, proximity_matches, window_matches
 from loomflow.llm.words import words
 
 
@@ -101,3 +101,39 @@ def test_proximity(spark):
     rows = proximity_matches(docs, "doc", "text", items, "item", "text", rarest=4, least=4, span=10).collect()
     assert [(r["doc"], r["item"], r["n_words"], r["doc_word"]) for r in rows] == [(1, 1, 4, 0)]
     assert proximity_matches(docs.limit(0), "doc", "text", items, "item", "text").count() == 0
+
+
+def test_windows_find_parts_of_long_items(spark, monkeypatch):
+    import loomflow.llm.leakage as module
+
+    monkeypatch.setattr(module, "WINDOW_BLOCK_WORDS", 150)
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate((10, 24, 60, 100, 200))]
+    docs = [(k, [*text(80), *t, *text(80)]) for k, t in items]
+    for _ in range(40):
+        k, t = rng.choice(items)
+        n = rng.randrange(min(24, len(t)), len(t) + 1)
+        start = rng.randrange(len(t) - n + 1)
+        docs.append((len(docs), [*text(80), *t[start : start + n], *text(80)]))
+    edited = items[3][1][40:70]
+    edited[12:12], edited[20] = ["new", "words"], "other"
+    docs.append((len(docs), [*text(80), *edited, *text(80)]))
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc long, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item long, text string")
+    exact = {(r["doc"], r["item"]) for r in leaked_passages(d, "doc", "text", i, "item", "text", 10).collect() if r["n_words"] >= min(24, len(items[r["item"]][1]))}
+    rows = window_matches(d, "doc", "text", i, "item", "text").collect()
+    near = {(r["doc"], r["item"]) for r in rows}
+    assert len(exact) >= 45 and exact <= near and len(near) == len(rows)
+    assert (len(docs) - 1, 3) in near
+    of_items = {(r["doc"], r["item"]) for r in proximity_matches(d, "doc", "text", i, "item", "text").collect()}
+    assert of_items < near
+
+
+def test_windows_edges(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c"), (3, None), (None, "a b c d e f g h")], "item long, text string")
+    docs = spark.createDataFrame([(1, "z h g f e d c b"), (1, "a b c d e f g h"), (2, "a b c d e f"), (3, None), (None, "a b c d e f g h")], "doc long, text string")
+    rows = window_matches(docs, "doc", "text", items, "item", "text").collect()
+    assert [(r["doc"], r["item"], r["n_words"], r["doc_word"]) for r in rows] == [(1, 1, 8, 0)]
+    assert window_matches(docs.limit(0), "doc", "text", items, "item", "text").count() == 0
