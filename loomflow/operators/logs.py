@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from datetime import date
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,16 +164,23 @@ def _pairs(line: str) -> list[tuple[str, str]]:
 _PAIRS, _ESCAPE = re.compile(_PAIR), re.compile(r"\\(.)")
 
 
+def _layout(starts: bool, pairs: list[tuple[str, str]]) -> str:
+    """The set of a line's keys, as a hash; none for lines of an object, which have a key each."""
+    return blake2b("\n".join(sorted({k for k, _ in pairs})).encode(), digest_size=16).hexdigest() if starts else ""
+
+
 def _key_counts(keyed: DataFrame) -> DataFrame:
-    """(k, n, times, levels, names, texts): how often each key occurs, and with values of each class."""
+    """(layout, k, n, times, levels, names, texts): how often each key occurs in lines of a layout, and with values of each class."""
     is_time, is_name, blank = re.compile(_TIME), re.compile(_NAME), re.compile(r"\s")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        counts: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
-            for line in batch.column(0).to_pylist():
-                for key, value in _pairs(line):
-                    own = counts.setdefault(key, [0] * 5)
+            for starts, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pairs = _pairs(line)
+                layout = _layout(starts, pairs)
+                for key, value in pairs:
+                    own = counts.setdefault((layout, key), [0] * 5)
                     for i, hit in enumerate((True, is_time.fullmatch(value), value.upper() in LEVELS, is_name.fullmatch(value), blank.search(value))):
                         own[i] += bool(hit)
             if len(counts) > 100_000:
@@ -180,12 +188,12 @@ def _key_counts(keyed: DataFrame) -> DataFrame:
                 counts = {}
         yield batch_of(counts)
 
-    def batch_of(counts: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(5)]], names=names)
+    def batch_of(counts: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in counts], pa.string()) for i in range(2)], *[pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(5)]], names=names)
 
-    names = ["k", "n", "times", "levels", "names", "texts"]
-    partial = keyed.select("line").mapInArrow(count, "k string, n long, times long, levels long, names long, texts long")
-    return materialize(partial.groupBy("k").agg(*[F.sum(c).alias(c) for c in names[1:]]), "log-keys")
+    names = ["layout", "k", "n", "times", "levels", "names", "texts"]
+    partial = keyed.select("starts", "line").mapInArrow(count, "layout string, k string, n long, times long, levels long, names long, texts long")
+    return materialize(partial.groupBy("layout", "k").agg(*[F.sum(c).alias(c) for c in names[2:]]), "log-keys")
 
 
 def _roles(counts: DataFrame, support: int) -> dict[str, int | None]:
@@ -195,7 +203,8 @@ def _roles(counts: DataFrame, support: int) -> dict[str, int | None]:
     those without a role the value is None.
     """
     roles: dict[str, int | None] = {}
-    for r in counts.where(F.col("n") >= support).collect():
+    of_keys = counts.groupBy("k").agg(*[F.sum(c).alias(c) for c in counts.columns[2:]])
+    for r in of_keys.where(F.col("n") >= support).collect():
         roles[r["k"]] = next((i for i, c in enumerate(("times", "levels", "names", "texts")) if r[c] >= 0.9 * r["n"]), None)
     return roles
 
@@ -203,45 +212,60 @@ def _roles(counts: DataFrame, support: int) -> dict[str, int | None]:
 def _role_values(keyed: DataFrame, counts: DataFrame, roles: dict[str, int | None]) -> DataFrame:
     """(log, chunk, no, starts, ms, level, component, message, ranks) of lines of pairs: the first value of each role.
 
-    A role that no key of the support gives goes to a pair by its own value: a time, a level, a
-    name, a text. Of several such pairs the one whose key holds that class most wins, by ``counts`` of all keys,
-    which meet these lines in a join. ``ranks`` is 0 for a role by the key, else above 0.
+    A key gives time or level only by values that are such. A role that no key of the support gives
+    goes to a pair by its own value: a time, a level, a name, a text, whatever other programs use the key for. Of several such pairs the one whose key holds that class most in lines
+    of the same keys wins, by ``counts`` of all layouts, which meet these lines in a join. ``ranks`` is 0 for a role by the key, else above 0.
     """
     is_time, is_name, blank = re.compile(_TIME), re.compile(_NAME), re.compile(r"\s")
-    kinds = "log string, chunk long, no long, starts boolean, given array<string>"
+    kinds = "log string, chunk long, no long, starts boolean, given array<string>, layout string"
     pair = pa.struct([("at", pa.int32()), ("key", pa.string()), ("value", pa.string())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given: list[list[str | None]] = []
             rest: list[list[dict] | None] = []
+            layouts: list[str] = []
             for starts, line in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 row: list[str | None] = [None] * 4
-                others, classes = [], set()
-                for at, (key, value) in enumerate(_pairs(line)):
-                    if key in roles:
-                        i = roles[key]
-                        if i is not None and row[i] is None:
+                pairs = [(at, key, value, own_classes(value), roles.get(key)) for at, (key, value) in enumerate(_pairs(line))]
+                layouts.append(_layout(starts, [p[1:3] for p in pairs]))
+                others, classes, used = [], set(), set()
+                for i in range(4):
+                    for at, _, value, own, role in pairs:
+                        # A key's role doesn't hold for a value that is a time or level the line still lacks.
+                        if role == i and at not in used and (i in own if i < 2 else not own & {j for j in (0, 1) if row[j] is None}):
                             row[i] = value
-                    elif own := own_classes(value):
+                            used.add(at)
+                            break
+                for at, key, value, own, role in pairs:
+                    if at not in used and (own := own if role is None else own & {0, 1, role}):
                         others.append({"at": at, "key": key, "value": value})
                         classes |= own
                 able = classes | {i for i in range(4) if row[i] is not None}
                 wanted = classes & {i for i in range(4) if row[i] is None}
                 given.append(row)
                 rest.append(others if wanted and (not starts or able >= {0, 1, 2}) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(given, pa.list_(pa.string())), pa.array(rest, pa.list_(pair))], names=["log", "chunk", "no", "starts", "given", "rest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(given, pa.list_(pa.string())), pa.array(layouts, pa.string()), pa.array(rest, pa.list_(pair))], names=["log", "chunk", "no", "starts", "given", "layout", "rest"])
 
     def own_classes(value: str) -> set[int]:
         return {i for i, hit in enumerate((is_time.fullmatch(value) and written_time_ms(value) is not None, value.upper() in LEVELS, is_name.fullmatch(value), blank.search(value))) if hit}
 
+    def weight(p: dict, i: int) -> float:
+        return 2 - p["shares"][i] if p["shares"][i] < 0.9 else 1.0 if p["n"] < 3 else 0.5
+
+    def meant(p: dict, i: int) -> bool:
+        """Bare numbers and letters may be anything: for a time or level the key's values in the layout are mostly so. Keys of other roles hold no names or texts."""
+        if i < 2:
+            return p["shares"][i] >= 0.5 or not (p["value"].isdigit() or len(p["value"]) == 1)
+        return roles.get(p["key"]) in (None, i)
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, ranks = [], []
             for row, pairs in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 rank, taken = [0.0] * 4, set()
                 for i in range(4):
-                    able = [] if row[i] is not None else [((p["shares"][i] < 0.9 and 2 - p["shares"][i]) or (1.0 if p["n"] < 3 else 0.5), p["at"], p["value"]) for p in pairs or () if p["at"] not in taken and i in own_classes(p["value"])]
+                    able = [] if row[i] is not None else [(weight(p, i), p["at"], p["value"]) for p in pairs or () if p["at"] not in taken and i in own_classes(p["value"]) and meant(p, i)]
                     if able:
                         rank[i], at, row[i] = min(able)
                         taken.add(at)
@@ -251,10 +275,10 @@ def _role_values(keyed: DataFrame, counts: DataFrame, roles: dict[str, int | Non
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *values], names=["log", "chunk", "no", "starts", "ms", "level", "component", "message", "ranks"])
 
     lines = materialize(keyed.select("log", "chunk", "no", "starts", "line").mapInArrow(extract, f"{kinds}, rest array<struct<at:int,key:string,value:string>>"), "log-pairs")
-    shares = counts.select(F.col("k").alias("key"), "n", F.array(*[F.col(c) / F.col("n") for c in ("times", "levels", "names", "texts")]).alias("shares"))
+    shares = counts.select("layout", F.col("k").alias("key"), "n", F.array(*[F.col(c) / F.col("n") for c in ("times", "levels", "names", "texts")]).alias("shares"))
     of_line = ["log", "chunk", "no"]
-    weighed = lines.where("rest is not null").select(*of_line, "starts", "given", F.inline("rest")).join(shares, "key")
-    ranked = weighed.groupBy(*of_line).agg(F.first("starts").alias("starts"), F.first("given").alias("given"), F.collect_list(F.struct("at", "value", "n", "shares")).alias("pairs"))
+    weighed = lines.where("rest is not null").select(*of_line, "starts", "given", "layout", F.inline("rest")).join(shares, ["layout", "key"])
+    ranked = weighed.groupBy(*of_line).agg(F.first("starts").alias("starts"), F.first("given").alias("given"), F.collect_list(F.struct("at", "key", "value", "n", "shares")).alias("pairs"))
     plain = lines.where("rest is null").select(*of_line, "starts", "given", F.lit(None).cast(ranked.schema["pairs"].dataType).alias("pairs"))
     return plain.unionByName(ranked).mapInArrow(choose, "log string, chunk long, no long, starts boolean, ms long, level string, component string, message string, ranks array<double>")
 
@@ -271,8 +295,8 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
     A line begins an entry if its template is frequent (``support``, default 1 in 2000 lines,
     3 at least), begins with a time, level, component or bracket, and ends with a mark. Fallback rules: a rarer
     template counts if it holds nothing but time, level, component, groups, numbers and
-    marks; a line of pairs counts if its keys give time, level and component, or, for keys below
-    the support, its own values do; so does a line `{` whose following lines do. Indented lines, quoted ones (`>`) and all others
+    marks; a line of pairs counts if its keys give time, level and component, or its own values
+    do, where the keys are below the support or used in several ways; so does a line `{` whose following lines do. Indented lines, quoted ones (`>`) and all others
     continue the entry before them.
     """
     base = lines.select(F.col("log_id").cast("string").alias("log"), F.col("line_no").cast("long").alias("no"), F.coalesce(F.col("line").cast("string"), F.lit("")).alias("line"))

@@ -81,6 +81,16 @@ def test_rare_keys_among_many_lines(spark):
     assert [got[-k][-1] for k in (4, 3, 1)] == ["hello x"] * 3
 
 
+@pytest.mark.parametrize("other", ["level=3 pool=a", "level=high pool=a", "ts=x1 level=high comp=9"])
+def test_keys_that_programs_use_differently(spark, other):
+    lines = []
+    for text in (LAYOUTS[9][0], LAYOUTS[10][0], LAYOUTS[11][0], LAYOUTS[12][0]) * 5:
+        lines += [text, other, other, "bytes=1704189538 state=E node=n", *["bytes=17 state=idle node=n"] * 2]
+    got = parse(spark, [("l", i, x) for i, x in enumerate(lines)])
+    want = [("l", 6 * k, 6 * k + 5, T0, x[1], x[2], "hello x") for k, x in enumerate(LAYOUTS[9:] * 5)]
+    assert got == want
+
+
 def test_messages_with_later_lines(spark):
     rows = [("l", 1, LAYOUTS[1][0]), ("l", 2, "more"), ("l", 3, None), ("l", 4, "end"), ("m", 7, LAYOUTS[1][0])]
     assert [r[-1] for r in parse(spark, rows, with_text=True)] == ["hello x\nmore\n\nend", "hello x"]
