@@ -26,7 +26,7 @@ from loomflow.runtime import materialize
 #: Lines of one log that are ordered in one task; longer logs are cut in chunks.
 CHUNK = 20_000
 
-#: Tokens of a line that positions are counted for.
+#: Tokens of a template that are stored one by one; of a longer one the rest is stored as a hash.
 HEAD_TOKENS = 12
 
 #: Spellings of levels, in natural order.
@@ -93,14 +93,17 @@ def level_name(text: str | None) -> str | None:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """(log, chunk, no, line, time, ms, level, component, template) of lines that have the three parts
-    among their first tokens. One compiled scan per line; as SQL expressions the token
+    """(log, chunk, no, line, time, ms, level, component, template, regular, marked) of lines that have the three
+    parts, wherever they are: whether the template up to one token after them is all ``_PARTS``, and whether its
+    last token is. Lines without a time or with another opening aren't scanned. One compiled scan per line; as SQL expressions the token
     classes would be evaluated again for each part."""
     token, mark, bars = re.compile(_TOKEN), re.compile(r"^([A-Z])(?=\d{8} \d\d:)"), re.compile(r"\|([A-Z])\|")
     is_time, is_level, is_word = re.compile(_TIME), re.compile(rf"(?:(?i:{_LONG_LEVELS})|\u0001[A-Z])"), re.compile(_WORD)
 
     def classes(line: str) -> tuple | None:
-        head = bars.sub("|\u0001\\1|", mark.sub("\u0001\\1 ", line[:300]))
+        head = bars.sub("|\u0001\\1|", mark.sub("\u0001\\1 ", line))
+        if not is_time.search(head):
+            return None
         kinds: list[str] = []
         places: dict[str, tuple[int, str]] = {}
         for match in token.finditer(head):
@@ -120,9 +123,12 @@ def _heads(lines: DataFrame) -> DataFrame:
             if kind in ("<T>", "<L>", "<C>"):
                 places.setdefault(kind, (len(kinds), t))
             kinds.append(kind)
-            if len(kinds) == HEAD_TOKENS or (len(places) == 3 and len(kinds) > max(p for p, _ in places.values()) + 1):
+            if kinds[0] not in _OPENING or (len(places) == 3 and len(kinds) > max(p for p, _ in places.values()) + 1):
                 break
-        return (*(places[k][1] for k in ("<T>", "<L>", "<C>")), kinds) if len(places) == 3 else None
+        if len(places) < 3 or kinds[0] not in _OPENING:
+            return None
+        template = kinds if len(kinds) <= HEAD_TOKENS else [*kinds[:HEAD_TOKENS], blake2b("\n".join(kinds[HEAD_TOKENS:]).encode(), digest_size=16).hexdigest()]
+        return (*(places[k][1] for k in ("<T>", "<L>", "<C>")), template, all(k in _PARTS for k in kinds), kinds[-1] in _PARTS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +136,9 @@ def _heads(lines: DataFrame) -> DataFrame:
             rows = batch.take(pa.array([i for i, _ in found], pa.int64()))
             times, levels, components = ([x[k] for _, x in found] for k in range(3))
             parts = [pa.array(times, pa.string()), pa.array(map(written_time_ms, times), pa.int64()), pa.array(map(level_name, levels), pa.string()), pa.array(components, pa.string())]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *parts, pa.array([x[3] for _, x in found], pa.list_(pa.string()))], names=[*batch.schema.names, "time", "ms", "level", "component", "template"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *parts, pa.array([x[3] for _, x in found], pa.list_(pa.string())), *[pa.array([x[k] for _, x in found], pa.bool_()) for k in (4, 5)]], names=[*batch.schema.names, "time", "ms", "level", "component", "template", "regular", "marked"])
 
-    return lines.select("log", "chunk", "no", "line").mapInArrow(scan, "log string, chunk long, no long, line string, time string, ms long, level string, component string, template array<string>")
+    return lines.select("log", "chunk", "no", "line").mapInArrow(scan, "log string, chunk long, no long, line string, time string, ms long, level string, component string, template array<string>, regular boolean, marked boolean")
 
 
 def _frequent(heads: DataFrame, support: int) -> DataFrame:
@@ -313,10 +319,8 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
 
     plain = materialize(_heads(rows.where(outer & ~pair_line)), "log-heads")
     frequent = _frequent(plain, least).withColumn("mined", F.lit(True))
-    opening = F.get("template", F.lit(0)).isin(*_OPENING)
-    regular = F.forall("template", lambda x: x.isin(*_PARTS))
-    marked_off = F.element_at("template", -1).isin(*_PARTS)  # what cites a time within a sentence goes on with a word
-    heads = plain.join(F.broadcast(frequent), "template", "left").where(opening & marked_off & (F.col("mined") | regular))
+    # What cites a time within a sentence goes on with a word, so it isn't marked off.
+    heads = plain.join(F.broadcast(frequent), "template", "left").where("marked and (mined or regular)")
     time, component = F.col("time"), F.regexp_replace("component", r"[.:/-]+$", "")
     after = lambda part: F.when(F.instr(F.col("line"), part) > 0, F.instr(F.col("line"), part) + F.length(part)).otherwise(1)
     rest = F.substring(F.col("line"), F.greatest(after(time), after(component)), F.length("line"))

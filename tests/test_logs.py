@@ -91,6 +91,19 @@ def test_keys_that_programs_use_differently(spark, other):
     assert got == want
 
 
+def test_parts_far_into_the_line(spark):
+    heads = [
+        ("2024-01-02 09:58:58,757 [INFO] [" + "pool thread 7, " * 40 + "x] |a.Writer|: hello x", "a.Writer"),
+        ("2024-01-02 09:58:58,757 " + "[1] (2) " * 6 + "[INFO] |a.Writer|: hello x", "a.Writer"),
+        ("2024-01-02 09:58:58,757 " + "7 | " * 200 + "INFO b.Reader - hello x", "b.Reader"),
+    ]
+    lines = []
+    for text, _ in heads * 3:
+        lines += [text, "at x", "noted " * 100 + "at 2024-01-02 09:58:58,757 INFO about x"]
+    got = parse(spark, [("l", i, x) for i, x in enumerate(lines)])
+    assert [(r[1], r[2], *r[3:]) for r in got] == [(3 * k, 3 * k + 2, T0, "INFO", c, "hello x") for k, (_, c) in enumerate(heads * 3)]
+
+
 def test_messages_with_later_lines(spark):
     rows = [("l", 1, LAYOUTS[1][0]), ("l", 2, "more"), ("l", 3, None), ("l", 4, "end"), ("m", 7, LAYOUTS[1][0])]
     assert [r[-1] for r in parse(spark, rows, with_text=True)] == ["hello x\nmore\n\nend", "hello x"]
