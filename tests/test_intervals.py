@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomflow.operators.intervals import periods_and_gaps
+from loomflow.operators.intervals import periods_and_gaps, unite
 
 
 def sweep(rows):
@@ -55,6 +57,55 @@ def test_long_intervals_are_cut_in_few_pieces(spark):
     assert run(spark, rows, 10) == sweep(rows)
 
 
+@pytest.mark.parametrize("end", [10**18, 2**63 - 1])
+def test_one_senseless_end_changes_no_other_row(spark, end):
+    """Nanoseconds among milliseconds: neither other containers nor the shards' width depend on them."""
+    rows = spark.range(30_000).selectExpr("concat('c', id) as c", "10L as s", "20L as e")
+    df = rows.unionByName(spark.createDataFrame([("x", 15, end), ("c1", -(2**63), -(2**63) + 3), ("x", end - 1, end)], "c string, s long, e long"))
+    got = {tuple(r) for r in periods_and_gaps(df, "c", "s", "e").collect()}
+    want = {(f"c{i}", "period", 10, 20) for i in range(30_000)} | {("x", "period", 15, end), ("c1", "period", -(2**63), -(2**63) + 3), ("c1", "gap", -(2**63) + 3, 10)}
+    assert got == want
+
+
+def test_shards_have_a_fixed_width_and_long_intervals_one_row(spark):
+    from loomflow.operators.intervals import SHARD_UNITS, run_bitmaps
+
+    df = spark.createDataFrame([("a", 5, 10**18), ("a", 7 * SHARD_UNITS + 3, 7 * SHARD_UNITS + 4), ("b", 1, 2)], "entity string, s long, e long")
+    rows = sorted((r.entity, r.shard, r.upto) for r in run_bitmaps(df, SHARD_UNITS).collect())
+    last = 10**18 // SHARD_UNITS
+    assert rows == [("a", 0, 0), ("a", 1, last - 1), ("a", 7, 7), ("a", last, last), ("b", 0, 0)]
+
+
+def test_unite_keeps_groups_apart():
+    rng = np.random.default_rng(2)
+    group = np.repeat(np.arange(20_000), 2)
+    lo = rng.integers(0, 100, 40_000)
+    hi = lo + rng.integers(0, 30, 40_000)
+    hi[7] = 2**62
+    got = {}
+    for g, a, b in zip(*(x.tolist() for x in unite(group, lo, hi))):
+        got.setdefault(g, []).append((a, b))
+    for g in range(20_000):
+        spans = sorted(zip(lo[2 * g : 2 * g + 2].tolist(), hi[2 * g : 2 * g + 2].tolist()))
+        whole = [(spans[0][0], max(x[1] for x in spans))] if spans[1][0] <= spans[0][1] + 1 else spans
+        assert got[g] == whole
+
+
+@pytest.mark.parametrize("gathered", [1, 3, 50])
+def test_groups_over_several_batches(spark, monkeypatch, gathered):
+    import loomflow.operators.intervals as module
+
+    monkeypatch.setattr(module, "GATHERED", gathered)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = random.Random(9)
+        rows = [(f"e{i % 3}" if i % 4 else "hot", s, s + rng.choice([0, 2, 40, 500])) for i in range(300) for s in [rng.randrange(3000)]]
+        for width in (5, 100, 10_000):
+            assert run(spark, rows, width) == sweep(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_and_extra_columns(spark):
     assert run(spark, [("a", None, None)]) == set()
     assert spark.createDataFrame([], "c string, s long, e long").transform(lambda d: periods_and_gaps(d, "c", "s", "e")).count() == 0
