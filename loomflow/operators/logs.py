@@ -1,16 +1,18 @@
 """Log lines of unknown layouts into entries of time, level, component and message.
 
-Layouts are mined, not listed. Heads of lines become tokens, of which times,
-levels, bracketed groups and numbers are classes; (position, token) pairs are counted
-over all lines, and a line's frequent pairs up to its component form its
-template. Key-value layouts have no fixed positions; for them the pairs counted
-are (key, class of value), which tell which key holds the time, the level and the
+Layouts are mined, not listed. Heads of lines become tokens, of which times, levels,
+bracketed groups and numbers are classes; (position, token) pairs are counted over
+all lines. A line's template keeps the tokens of its frequent pairs, the others
+become `*`. Templates tell which words of a layout are constants and which of them is the
+component. Key-value layouts have no fixed positions; for them the pairs counted are
+(key, class of value), which tell which key holds the time, the level and the
 component. Outliers go through fallback rules: see ``parse_lines``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from datetime import date
 from functools import lru_cache
@@ -46,9 +48,11 @@ DAY_FIRST = r"\d\d?/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d(?:[.,]\d+)?(?: [+-]\d{4})
 EPOCH = r"\d{10}[.,]\d+|\d{19}|\d{16}|\d{13}|\d{10}"
 _TIME = rf"(?:{CALENDAR}|{COMPACT}|{DAY_FIRST}|(?<![\w.])(?:{EPOCH})(?![\w.]))"
 _LONG_LEVELS = "|".join(sorted((x for x in LEVELS if len(x) > 1), key=len, reverse=True))
-_LEVEL = rf"(?<![\w.])(?i:{_LONG_LEVELS})(?![\w.])|\u0001[A-Z]"
-_WORD = r"[A-Za-z_$][\w.$/-]*"
-_TOKEN = rf"{_TIME}|{_LEVEL}|\[(?!(?:{_TIME}|(?i:{_LONG_LEVELS})\]))[^\[\]]*\]|{_WORD}|\d+|\S"
+#: Tokens by class: time, level, a letter that stands where a level does, bracketed group, word, number, mark.
+_TOKEN = (
+    rf"(?P<T>{_TIME})|(?P<L>(?<![\w.])(?i:{_LONG_LEVELS})(?![\w.]))|(?P<S>^[A-Z](?=\d{{8}} \d\d:)|(?<=\|)[A-Z](?=\|))"
+    rf"|(?P<B>\[(?!(?:{_TIME}|(?i:{_LONG_LEVELS})\]))[^\[\]]+\])|(?P<W>[A-Za-z_$][\w.$/-]*)|(?P<N>\d+)|(?P<X>\[\]|\S)"
+)
 _PAIR = r'"([A-Za-z_][\w.-]*)"\s*:\s*("(?:[^"\\]|\\.)*+"|[^",{}\[\]]+)|(?:^|(?<=\s))([A-Za-z_][\w.-]*)=("(?:[^"\\]|\\.)*+"|[^"\s]\S*)'
 
 
@@ -92,67 +96,134 @@ def level_name(text: str | None) -> str | None:
     return LEVELS.get(text.lstrip("\u0001").upper()) if text else None
 
 
+#: What a head may begin with and consist of if it is too rare to be mined.
+_OPENING = ("<T>", "<L>", "<W>", "[", "(")
+_PARTS = ("<T>", "<L>", "<W>", "<B>", "<N>", "[", "]", "(", ")", "|", ":", "-", ",", ";", "/", "#")
+
+#: A word is a constant of a layout if so much of the layout's lines have it there.
+CONSTANT = 0.9
+
+
 def _heads(lines: DataFrame) -> DataFrame:
-    """(log, chunk, no, line, time, ms, level, component, template, regular, marked) of lines that have the three
-    parts, wherever they are: whether the template up to one token after them is all ``_PARTS``, and whether its
-    last token is. Lines without a time or with another opening aren't scanned. One compiled scan per line; as SQL expressions the token
+    """(log, chunk, no, ms, level, words, tokens, regular, message) of lines whose head has a time, a level and one
+    or two words, and ends with a mark or the line, wherever that is. Words next to each other are a sentence, not a head.
+
+    ``tokens`` are classes, marks and the words as written, those beyond HEAD_TOKENS as a hash;
+    ``regular``: one word, and else only ``_PARTS``. One compiled scan per line; as SQL expressions the token
     classes would be evaluated again for each part."""
-    token, mark, bars = re.compile(_TOKEN), re.compile(r"^([A-Z])(?=\d{8} \d\d:)"), re.compile(r"\|([A-Z])\|")
-    is_time, is_level, is_word = re.compile(_TIME), re.compile(rf"(?:(?i:{_LONG_LEVELS})|\u0001[A-Z])"), re.compile(_WORD)
+    token, is_time, lead = re.compile(_TOKEN), re.compile(_TIME), re.compile(r"^(?::\d+)?[\s|:)\]}-]+")
 
-    def classes(line: str) -> tuple | None:
-        head = bars.sub("|\u0001\\1|", mark.sub("\u0001\\1 ", line))
-        if not is_time.search(head):
+    def head(line: str) -> tuple | None:
+        if not is_time.search(line):
             return None
         kinds: list[str] = []
-        places: dict[str, tuple[int, str]] = {}
-        for match in token.finditer(head):
-            t = match.group()
-            if is_time.fullmatch(t):
-                kind = "<T>"
-            elif is_level.fullmatch(t):
-                kind = "<L>"
-            elif len(t) > 2 and t[0] == "[" and t[-1] == "]":
-                kind = "<B>"
-            elif t.isdigit():
-                kind = "<N>"
-            elif "<C>" not in places and is_word.fullmatch(t):
-                kind = "<C>"
-            else:
-                kind = t
-            if kind in ("<T>", "<L>", "<C>"):
-                places.setdefault(kind, (len(kinds), t))
-            kinds.append(kind)
-            if kinds[0] not in _OPENING or (len(places) == 3 and len(kinds) > max(p for p, _ in places.values()) + 1):
+        words: list[tuple[int, str]] = []
+        time = level = None
+        end = 0
+        for match in token.finditer(line):
+            group, text = match.lastgroup, match.group()
+            if group == "S":
+                group = "W" if level else "L"
+            kind = text if group == "X" else f"<{group}>"
+            if not kinds and kind not in _OPENING:
+                return None
+            if time and level and words and group != "W":
+                kinds.append(kind)
+                if kind not in _PARTS:
+                    return None
                 break
-        if len(places) < 3 or kinds[0] not in _OPENING:
+            if group == "W":
+                if len(words) == 2 or (kinds and kinds[-1] == "<W>"):
+                    return None
+                words.append((len(kinds), text))
+                end = match.end()
+            elif group == "T" and time is None:
+                time, end = text, match.end()
+            elif group == "L" and level is None:
+                level, end = text, match.end()
+            kinds.append(kind)
+        if not (time and level and words) or (ms := written_time_ms(time)) is None:
             return None
-        template = kinds if len(kinds) <= HEAD_TOKENS else [*kinds[:HEAD_TOKENS], blake2b("\n".join(kinds[HEAD_TOKENS:]).encode(), digest_size=16).hexdigest()]
-        return (*(places[k][1] for k in ("<T>", "<L>", "<C>")), template, all(k in _PARTS for k in kinds), kinds[-1] in _PARTS)
+        regular = len(words) == 1 and all(k in _PARTS for k in kinds)
+        rest = kinds[HEAD_TOKENS:]
+        tokens = kinds[:HEAD_TOKENS] + ([blake2b("\n".join(rest).encode(), digest_size=16).hexdigest()] if rest else [])
+        for at, word in words:
+            if at < HEAD_TOKENS:
+                tokens[at] = _AS_WORD + word
+        names = [w.rstrip(".:/-") or w for _, w in words]
+        return ms, level_name(level), names, tokens, regular, lead.sub("", line[end:])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.string())
         for batch in batches:
-            found = [(i, x) for i, line in enumerate(batch.column(3).to_pylist()) if (x := classes(line))]
+            found = [(i, x) for i, line in enumerate(batch.column(3).to_pylist()) if (x := head(line)) and x[1]]
             rows = batch.take(pa.array([i for i, _ in found], pa.int64()))
-            times, levels, components = ([x[k] for _, x in found] for k in range(3))
-            parts = [pa.array(times, pa.string()), pa.array(map(written_time_ms, times), pa.int64()), pa.array(map(level_name, levels), pa.string()), pa.array(components, pa.string())]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *parts, pa.array([x[3] for _, x in found], pa.list_(pa.string())), *[pa.array([x[k] for _, x in found], pa.bool_()) for k in (4, 5)]], names=[*batch.schema.names, "time", "ms", "level", "component", "template", "regular", "marked"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], *[pa.array([x[k] for _, x in found], kind) for k, kind in enumerate(kinds)]], names=["log", "chunk", "no", "ms", "level", "words", "tokens", "regular", "message"])
+
+    return lines.select("log", "chunk", "no", "line").mapInArrow(scan, "log string, chunk long, no long, ms long, level string, words array<string>, tokens array<string>, regular boolean, message string")
+
+
+#: Tells a word of ``tokens`` from a mark or a class.
+_AS_WORD = " "
+
 
-    return lines.select("log", "chunk", "no", "line").mapInArrow(scan, "log string, chunk long, no long, line string, time string, ms long, level string, component string, template array<string>, regular boolean, marked boolean")
+def _template(tokens: list[str], frequent: set[tuple[int, str]]) -> tuple[str, list[str]]:
+    """A head's layout, words as `<W>` and infrequent marks as `*`, and its words, infrequent ones as `*`."""
+    kept = [t if (at, t) in frequent else _AS_WORD + "*" if t[0] == _AS_WORD else "*" for at, t in enumerate(tokens)]
+    return " ".join("<W>" if t[0] == _AS_WORD else t for t in kept), [t[1:] for t in kept if t[0] == _AS_WORD]
 
 
-def _frequent(heads: DataFrame, support: int) -> DataFrame:
-    """(template) whose every (position, token) pair and itself have the support."""
-    pairs = heads.select(F.posexplode("template").alias("pos", "token")).groupBy("pos", "token").count().where(F.col("count") >= support)
-    counts = heads.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    places = counts.select("template", F.posexplode("template").alias("pos", "token"))
-    known = places.join(pairs.select("pos", "token"), ["pos", "token"]).groupBy("template").agg(F.count(F.lit(1)).alias("known"))
-    return known.where(F.col("known") == F.size("template")).select("template")
+def _started(heads: DataFrame, support: int) -> DataFrame:
+    """(log, chunk, no, ms, level, component, message) of heads that begin an entry.
 
+    The frequent pairs come to the driver, at most HEAD_TOKENS + 1 times lines / support; so do the layouts
+    of the support, at most lines / support. Of a mined layout with two words the later one is the component,
+    the earlier one where only that varies; two constants are a sentence that repeats. Heads of other
+    layouts count if they are regular.
+    """
+    pairs = heads.select(F.posexplode("tokens").alias("at", "token")).groupBy("at", "token").count().where(F.col("count") >= support)
+    frequent = {(r["at"], r["token"]) for r in pairs.collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                layout, words = _template(tokens, frequent)
+                counts[layout, -1, ""] += 1
+                counts.update((layout, i, w) for i, w in enumerate(words))
+            if len(counts) > 100_000:
+                yield batch_of(counts)
+                counts.clear()
+        yield batch_of(counts)
+
+    def batch_of(counts: Counter) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in counts], kind) for i, kind in enumerate(kinds)], pa.array(list(counts.values()), pa.int64())], names=["layout", "word_no", "word", "n"])
+
+    counted = heads.select("tokens").mapInArrow(count, "layout string, word_no int, word string, n long").groupBy("layout", "word_no", "word").agg(F.sum("n").alias("n"))
+    most = lambda i: F.coalesce(F.max(F.when((F.col("word_no") == i) & (F.col("word") != "*"), F.col("n"))), F.lit(0))
+    layouts = counted.groupBy("layout").agg(F.max(F.when(F.col("word_no") < 0, F.col("n"))).alias("n"), F.max("word_no").alias("last"), most(0).alias("a"), most(1).alias("b"))
+    component: dict[str, int] = {}
+    for r in layouts.where(F.col("n") >= support).collect():
+        first, second = (r[c] >= CONSTANT * r["n"] for c in ("a", "b"))
+        if r["last"] < 1:
+            component[r["layout"]] = 0
+        elif not (first and second):
+            component[r["layout"]] = 0 if second else 1
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, tokens, regular = (batch.column(i).to_pylist() for i in (5, 6, 7))
+            rows, names = [], []
+            for r in range(batch.num_rows):
+                which = 0 if regular[r] else component.get(_template(tokens[r], frequent)[0])
+                if which is not None:
+                    rows.append(r)
+                    names.append(words[r][min(which, len(words[r]) - 1)])
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:5], pa.array(names, pa.string()), kept.column(8)], names=["log", "chunk", "no", "ms", "level", "component", "message"])
 
-#: What a template may begin with and consist of, for outliers too rare to be mined.
-_OPENING = ("<T>", "<L>", "<C>", "[", "(")
-_PARTS = ("<T>", "<L>", "<C>", "<B>", "<N>", "[", "]", "(", ")", "|", ":", "-", ",", ";", "/", "#")
+    return heads.mapInArrow(assign, "log string, chunk long, no long, ms long, level string, component string, message string")
 
 
 _NAME = r"[A-Za-z_$][\w.$-]*"
@@ -298,9 +369,10 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
     with the log; lines ahead of a log's first entry belong to none; an empty table gives no rows.
     ``message`` is the rest of the entry's first line, with ``with_text`` the later lines too.
 
-    A line begins an entry if its template is frequent (``support``, default 1 in 2000 lines,
-    3 at least), begins with a time, level, component or bracket, and ends with a mark. Fallback rules: a rarer
-    template counts if it holds nothing but time, level, component, groups, numbers and
+    A line begins an entry if its head has a time, a level and a word, begins with one of them or a bracket, ends with a mark,
+    and its layout is frequent (``support``, default 1 in 2000 lines, 3 at least). Of two words of a frequent
+    layout, such as a thread and a component, the counts tell which is the component. Fallback rules: a rarer
+    layout counts if it holds one word and else nothing but time, level, groups, numbers and
     marks; a line of pairs counts if its keys give time, level and component, or its own values
     do, where the keys are below the support or used in several ways; so does a line `{` whose following lines do. Indented lines, quoted ones (`>`) and all others
     continue the entry before them.
@@ -317,17 +389,8 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
     counts = _key_counts(keyed)
     roles = _roles(counts, least)
 
-    plain = materialize(_heads(rows.where(outer & ~pair_line)), "log-heads")
-    frequent = _frequent(plain, least).withColumn("mined", F.lit(True))
-    # What cites a time within a sentence goes on with a word, so it isn't marked off.
-    heads = plain.join(F.broadcast(frequent), "template", "left").where("marked and (mined or regular)")
-    time, component = F.col("time"), F.regexp_replace("component", r"[.:/-]+$", "")
-    after = lambda part: F.when(F.instr(F.col("line"), part) > 0, F.instr(F.col("line"), part) + F.length(part)).otherwise(1)
-    rest = F.substring(F.col("line"), F.greatest(after(time), after(component)), F.length("line"))
-    started = heads.select(
-        "log", "chunk", "no", F.lit("head").alias("kind"), "ms", "level", component.alias("component"),
-        F.regexp_replace(rest, r"^(?::\d+)?[\s|:)\]}-]+", "").alias("message"),
-    ).where("ms is not null and level is not null")
+    heads = materialize(_heads(rows.where(outer & ~pair_line)), "log-heads")
+    started = _started(heads, least).withColumn("kind", F.lit("head"))
 
     valued = _role_values(keyed, counts, roles)
     filled = "starts and ms is not null and level is not null and component is not null or not starts and (ms is not null or level is not null or component is not null or message is not null)"

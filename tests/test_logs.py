@@ -104,6 +104,26 @@ def test_parts_far_into_the_line(spark):
     assert [(r[1], r[2], *r[3:]) for r in got] == [(3 * k, 3 * k + 2, T0, "INFO", c, "hello x") for k, (_, c) in enumerate(heads * 3)]
 
 
+def test_mining_tells_threads_tags_and_components_apart(spark):
+    """Layouts with a second word: which one is the component is known from the pairs' counts only."""
+    lines = []
+    for k in range(30):
+        lines += [f"2024-01-02 09:58:58,757 worker-{k} INFO a.Part{k % 4} - hello {k}", f"svc 2024-01-02 09:58:58,757 INFO b.Part{k % 3} - hello {k}", f"c.Part{k % 5} 2024-01-02 09:58:58,757 [main] WARN main: hello {k}"]
+        lines += ["level FATAL at 2024-01-02 09:58:58,757 - cited", f"we saw INFO of Part{k} at 2024-01-02 09:58:58,757 - cited"]
+    rows = [("l", i, x) for i, x in enumerate(lines)]
+    got = parse(spark, rows)
+    want = []
+    for k in range(30):
+        want += [("l", 5 * k, 5 * k, T0, "INFO", f"a.Part{k % 4}", f"hello {k}"), ("l", 5 * k + 1, 5 * k + 1, T0, "INFO", f"b.Part{k % 3}", f"hello {k}"), ("l", 5 * k + 2, 5 * k + 4, T0, "WARN", f"c.Part{k % 5}", f"hello {k}")]
+    assert got == want
+    assert parse(spark, rows, support=10**6) == []  # without mining, such layouts are outliers that no rule takes
+
+
+def test_message_begins_after_the_component(spark):
+    got = parse(spark, [("l", 1, "2024-01-02 09:58:58,757 [INFO] [comp.A-worker-1] |comp.A|: hello"), ("l", 2, "2024-01-02 09:58:58,757 comp.B [WARN] hello comp.B")])
+    assert [(r[5], r[6]) for r in got] == [("comp.A", "hello"), ("comp.B", "hello comp.B")]
+
+
 def test_messages_with_later_lines(spark):
     rows = [("l", 1, LAYOUTS[1][0]), ("l", 2, "more"), ("l", 3, None), ("l", 4, "end"), ("m", 7, LAYOUTS[1][0])]
     assert [r[-1] for r in parse(spark, rows, with_text=True)] == ["hello x\nmore\n\nend", "hello x"]
