@@ -10,12 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomflow.operators.skew import salted_aggregate
+from loomflow.operators.skew import salted_aggregate, weighed_keys
 from loomflow.runtime import materialize
 
 #: More event types than this are no feature columns.
 MOST_TYPES = 10_000
 
+#: Types as written whose names are broadcast; more are joined by shuffle.
+MOST_SPELLINGS = 100_000
+
 #: Cells of dense arrays that a task makes at once.
 CELLS = 1_000_000
 
@@ -42,7 +45,7 @@ def upper_words(text: Column) -> Column:
     return F.when(joined != "", joined)
 
 
-def event_statistics(df: DataFrame, entity: Column, kind: Column, event: Column, time: Column, size: Column, salts: int = 32) -> DataFrame:
+def event_statistics(df: DataFrame, entity: Column, kind: Column, event: Column, time: Column, size: Column, salts: int | None = None) -> DataFrame:
     """(entity, eventtype, ``n_events``, ``last_ms``, ``total_size``) over distinct events.
 
     Entities are compared in lower case without outer white space; types by letters
@@ -51,41 +54,43 @@ def event_statistics(df: DataFrame, entity: Column, kind: Column, event: Column,
     don't count; copies of one event count once, with its latest time and largest
     size; null sizes add 0. An empty table gives no rows.
 
-    Copies meet first (entity, type, id spread any hot type), then two salted stages
-    sum up: entity-type groups that hold much of the data are spread over salts.
+    Spellings are settled on the column of types alone, hot groups found on the two key columns, so
+    the events themselves pass in one go: copies meet first (entity, type, id spread any hot
+    type), then two salted stages sum up: entity-type groups that hold much of the data are
+    spread over salts.
     """
     rows = df.select(
         F.lower(F.regexp_replace(entity.cast("string"), r"^\s+|\s+$", "")).alias("entity"),
-        upper_words(kind.cast("string")).alias("words"),
+        kind.cast("string").alias("raw"),
         event.alias("event"),
         epoch_ms(time).alias("ms"),
         size.cast("long").alias("size"),
-    ).where("entity is not null and entity <> '' and words is not null and event is not null and ms is not null")
-    rows = materialize(rows, "feature-rows")  # read twice: for spellings, then for events
-    events = _one_spelling(rows).groupBy("entity", "words", "event").agg(F.max("ms").alias("ms"), F.max("size").alias("size"))
+    )
+    spellings = _spellings(rows.select("raw"))
+    few = spellings.count() <= MOST_SPELLINGS
+    named = rows.join(F.broadcast(spellings) if few else spellings, "raw").where("entity is not null and entity <> '' and event is not null and ms is not null")
+    heavy = materialize(weighed_keys(named.select("entity", "words"), ["entity", "words"]), "feature-heavy")
     merged = salted_aggregate(
-        materialize(events, "feature-events"),
+        named.groupBy("entity", "words", "event").agg(F.max("ms").alias("ms"), F.max("size").alias("size")),
         ["entity", "words"],
         {"n_events": F.count(F.lit(1)), "last_ms": F.max("ms"), "total_size": F.sum(F.coalesce("size", F.lit(0)))},
         {"n_events": F.sum, "last_ms": F.max, "total_size": F.sum},
         salt_by=["event"],
         salts=salts,
+        heavy=heavy,
     )
     return merged.withColumnRenamed("words", "eventtype")
 
 
-def _one_spelling(rows: DataFrame) -> DataFrame:
-    """Replaces ``words`` that differ from others only in where words end. The list of
-    such spellings is broadcast up to MOST_TYPES entries, else joined by shuffle."""
-    squashed = F.replace("words", F.lit("_"), F.lit(""))
-    spelt = rows.groupBy("words").agg(F.count(F.lit(1)).alias("n")).withColumn("squashed", squashed)
-    best = spelt.groupBy("squashed").agg(F.max_by("words", F.struct(F.length("words"), "n", "words")).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    other = materialize(spelt.join(best, "squashed").where("words <> best").select(F.col("words").alias("was"), "best"), "feature-spellings")
-    found = other.count()
-    if not found:
-        return rows
-    joined = rows.join(F.broadcast(other) if found <= MOST_TYPES else other, F.col("words") == F.col("was"), "left")
-    return joined.withColumn("words", F.coalesce("best", "words")).drop("was", "best")
+def _spellings(types: DataFrame) -> DataFrame:
+    """(raw, words) of each type as written: its name, in the spelling of most words where
+    types differ only in where words end. Types without letters and digits are left out."""
+    spelt = types.where("raw is not null").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    spelt = spelt.withColumn("words", upper_words(F.col("raw"))).where("words is not null").withColumn("squashed", F.replace("words", F.lit("_"), F.lit("")))
+    spelt = materialize(spelt, "feature-spellings")
+    of_words = spelt.groupBy("squashed", "words").agg(F.sum("n").alias("n"))
+    best = of_words.groupBy("squashed").agg(F.max_by("words", F.struct(F.length("words"), "n", "words")).alias("best"))
+    return materialize(spelt.join(best, "squashed").select("raw", F.col("best").alias("words")), "feature-names")
 
 
 def feature_table(statistics: DataFrame, prefix: str = "") -> DataFrame:

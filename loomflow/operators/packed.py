@@ -1,16 +1,19 @@
 """Several values packed in one field, split into one row per value with its position.
 
 A field is cut at its quoted literals: odd pieces are literals, even pieces are
-split on delimiters and brackets, and one array fold puts the pieces together
+split on delimiters and brackets, and an array fold puts the pieces together
 again, item by item, so that nothing separates inside quotes or brackets. All of
 it runs as SQL expressions on the row, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomflow.operators.skew import heavy_keys
+from loomflow.runtime import materialize, ship
+
 #: Fixed pattern: a literal in one of three quotes, with escapes by backslash or doubling.
 #: It begins where no letter or digit is right before it, so apostrophes in words don't count.
 _LITERAL = "|".join(rf"(?<![\p{{L}}\p{{N}}]){q}(?:[^{q}\\]|\\.|{q}{q})*+{q}" for q in "\"'`")
@@ -69,19 +72,34 @@ def fold_items(field: Column, marks: str, keep_quotes: bool) -> Column:
         ),
     )
     keep = lambda done, cur: F.when(_trim(cur) == "", done).otherwise(F.concat(done, F.array(_trim(cur))))
+    none, no_text = F.array().cast("array<string>"), F.lit(None).cast("string")
 
     def step(acc: Column, piece: Column) -> Column:
+        """``head`` is the text up to a chunk's first delimiter, which goes on the item of the chunk before."""
         kind, text = piece["kind"], piece["text"]
         ends = (kind == "d") & (acc["depth"] == 0)
         depth = F.when(kind == "o", acc["depth"] + 1).when(kind == "c", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
         return F.struct(
-            F.when(ends, keep(acc["done"], acc["cur"])).otherwise(acc["done"]).alias("done"),
+            F.when(ends & acc["head"].isNull(), acc["cur"]).otherwise(acc["head"]).alias("head"),
+            F.when(ends & acc["head"].isNotNull(), keep(acc["done"], acc["cur"])).otherwise(acc["done"]).alias("done"),
             F.when(ends, F.lit("")).otherwise(F.concat(acc["cur"], text)).alias("cur"),
             depth.alias("depth"),
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("depth"))
-    return F.aggregate(F.flatten(split), start, step, lambda acc: keep(acc["done"], acc["cur"]))
+    def fold_chunk(acc: Column, chunk: Column) -> Column:
+        fresh = F.struct(no_text.alias("head"), none.alias("done"), F.lit("").alias("cur"), acc["depth"].alias("depth"))
+        return F.aggregate(chunk, fresh, step, lambda own: F.struct(
+            F.when(own["head"].isNull(), acc["done"]).otherwise(F.concat(keep(acc["done"], F.concat(acc["cur"], own["head"])), own["done"])).alias("done"),
+            F.when(own["head"].isNull(), F.concat(acc["cur"], own["cur"])).otherwise(own["cur"]).alias("cur"),
+            own["depth"].alias("depth"),
+        ))
+
+    # A fold copies its result at every step. Chunks of about sqrt(n) pieces keep that to n x sqrt(n).
+    size = lambda p: F.greatest(F.ceil(F.sqrt(F.size(p))).cast("int"), F.lit(1))
+    chunks = lambda p: F.transform(F.sequence(F.lit(1), F.size(p), size(p)), lambda at: F.slice(p, at, size(p)))
+    start = F.struct(none.alias("done"), F.lit("").alias("cur"), F.lit(0).alias("depth"))
+    whole = lambda p: F.aggregate(F.when(F.size(p) > 0, chunks(p)).otherwise(F.array().cast("array<array<struct<kind:string,text:string>>>")), start, fold_chunk, lambda acc: keep(acc["done"], acc["cur"]))
+    return F.when(field.isNotNull(), F.element_at(F.transform(F.array(F.flatten(split)), whole), 1))  # the pieces are made once
 
 
 def _blank(field: Column) -> Column:
@@ -114,13 +132,26 @@ def argument_list(field: Column) -> Column:
     return F.transform(fold_items(_blank(field), ",;|", keep_quotes=True), item)
 
 
-def unpack(df: object, key: str, fields: dict[str, Column]) -> object:
+def unpack(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """(``field_name``, ``row_key`` string, ``pos`` int from 1, ``item``) of each named item array.
 
     Every value once per key: rows that repeat a key's field give one copy. Rows
     with a null key are left out; null fields and empty ones give no rows.
+
+    Arrays move, not items: a key's arrays meet, repeated ones go, and what is left is spread out
+    where it is. The arrays of a key that holds much of the table are made distinct before they meet.
     """
-    packed = F.array(*[F.struct(F.lit(name).alias("field_name"), items.alias("items")) for name, items in fields.items()])
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("row_key"), F.explode(packed).alias("f"))
-    rows = rows.select(F.col("f.field_name").alias("field_name"), "row_key", F.posexplode("f.items").alias("at", "item"))
-    return rows.select("field_name", "row_key", (F.col("at") + 1).alias("pos"), "item").distinct()
+    ship(df.sparkSession)
+    named = df.where(F.col(key).isNotNull())
+    rows = named.select(F.col(key).cast("string").alias("row_key"), *[items.alias(f"__f{i}") for i, items in enumerate(fields.values())])
+    heavy = materialize(heavy_keys(named.select(F.col(key).cast("string").alias("row_key")), ["row_key"]).select("row_key"), "packed-heavy")
+    light = rows.join(F.broadcast(heavy), "row_key", "left_anti").repartition("row_key").dropDuplicates()
+    hot = rows.join(F.broadcast(heavy), "row_key", "left_semi").distinct()
+    listed = F.array(*[F.struct(F.lit(name).alias("field_name"), F.col(f"__f{i}").alias("items")) for i, name in enumerate(fields)])
+
+    def spread(part: DataFrame) -> DataFrame:
+        part = part.select("row_key", F.inline(listed))
+        return part.select("field_name", "row_key", F.posexplode("items").alias("at", "item")).distinct()
+
+    both = spread(light).unionByName(spread(hot)) if not heavy.isEmpty() else spread(light)
+    return both.select("field_name", "row_key", (F.col("at") + 1).alias("pos"), "item")

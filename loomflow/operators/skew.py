@@ -22,10 +22,15 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], per_partition: int = 4) -> Da
     qualify, which bounds the result whatever the data; it is safe to broadcast.
     Returns the keys with ``heavy_rows``. Empty input gives no rows.
     """
+    return weighed_keys(df, keys, per_partition).drop("all_rows")
+
+
+def weighed_keys(df: DataFrame, keys: Sequence[str], per_partition: int = 4) -> DataFrame:
+    """``heavy_keys`` with ``all_rows``, the number of all rows."""
     slots = per_partition * parallelism(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("heavy_rows"))
     total = counts.agg(F.sum("heavy_rows")).scalar()
-    return counts.where(F.col("heavy_rows") * slots >= total)
+    return counts.where(F.col("heavy_rows") * slots >= total).withColumn("all_rows", total)
 
 
 def salted_aggregate(
@@ -34,25 +39,39 @@ def salted_aggregate(
     partial: dict[str, Column],
     merge: dict[str, Callable[[str], Column]],
     salt_by: Sequence[str],
-    salts: int = 32,
+    salts: int | None = None,
+    heavy: DataFrame | None = None,
+    else_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Two-stage aggregation per key: heavy keys get a salt in ``0..salts-1``,
-    ``partial`` aggregates run per key and salt, ``merge[name](column)`` joins the
-    partials per original key.
+    """Two-stage aggregation per key: heavy keys get a salt, ``partial`` aggregates run per key and
+    salt, ``merge[name](column)`` joins the partials per original key.
+
+    A key gets as many salts as its rows would fill partitions, or ``salts`` of them. ``heavy``
+    (keys, ``heavy_rows`` and ``all_rows``) may be what ``weighed_keys`` found on rows that are cheaper
+    to read than ``df``; by default it is counted on ``df``.
 
     Null keys form a group of their own; an empty table gives no rows; repeated
-    rows each count. Only ``keys``, ``salt_by`` and the columns named inside
+    rows each count. Only ``keys``, ``salt_by``, ``else_by`` and the columns named inside
     ``partial`` are read; helper columns start with ``__`` so extra columns with
     other names never clash. ``salt_by`` should name columns that vary within a
     key; rows equal in them share a salt, so ``countDistinct`` of a salt column
-    stays additive over salts.
+    stays additive over salts. Rows that have nulls only in them are salted by ``else_by``.
     """
-    heavy = heavy_keys(df, keys).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__heavy"))
+    found = weighed_keys(df, keys) if heavy is None else heavy
+    partitions = parallelism(df.sparkSession)
+    wanted = F.ceil(F.col("heavy_rows") * partitions / F.col("all_rows")) + 1 if salts is None else F.lit(salts)
+    found = found.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.least(wanted, F.lit(1_000_000)).cast("int").alias("__salts"))
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-    salt = F.when(F.col("__heavy"), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(-1))
-    marked = df.join(F.broadcast(heavy), match, "left").withColumn("__salt", salt.cast("int"))
+    by = F.xxhash64(*salt_by)
+    if else_by:
+        filled = F.lit(False)
+        for c in salt_by:
+            filled = filled | F.col(c).isNotNull()
+        by = F.when(filled, by).otherwise(F.xxhash64(*else_by))
+    salt = F.coalesce(F.pmod(by, F.col("__salts")), F.lit(-1))
+    marked = df.join(F.broadcast(found), match, "left").withColumn("__salt", salt.cast("int"))
     first = marked.groupBy(*keys, "__salt").agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(*keys).agg(*[f(n).alias(n) for n, f in merge.items()])
 

@@ -81,15 +81,14 @@ def p7_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "attempts").select("vertex_name", "node_id", "task_attempt_id", "time_taken", "start_time", "status")
     taken = F.when(F.col("time_taken") >= 0, F.col("time_taken"))
     partial = {
-        "n_attempts": F.count_distinct("task_attempt_id"),
         "taken_ms": F.sum(taken),
         "n_taken": F.count(taken),
         "longest_ms": F.max(taken),
         "first_start": F.min(F.when(F.col("start_time") > 0, F.col("start_time"))),
         "n_failed": F.count_if(F.col("status") == "FAILED"),
     }
-    merge = {"n_attempts": F.sum, "taken_ms": F.sum, "n_taken": F.sum, "longest_ms": F.max, "first_start": F.min, "n_failed": F.sum}
-    return heavy.key_results(a, ["vertex_name", "node_id"], partial, merge, salt_by=["task_attempt_id"])
+    merge = {"taken_ms": F.sum, "n_taken": F.sum, "longest_ms": F.max, "first_start": F.min, "n_failed": F.sum}
+    return heavy.key_results(a, ["vertex_name", "node_id"], partial, merge, ["task_attempt_id"], distinct={"n_attempts": "task_attempt_id"}, else_by=["start_time", "time_taken"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
