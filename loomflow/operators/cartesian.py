@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomflow.runtime import materialize
+
 #: Defaults of the fair product: most parallel tasks, least pairs a task.
 MOST_TASKS = 1000
 LEAST_PAIRS = 1_000_000
@@ -17,17 +19,24 @@ def cartesian(sources: Sequence[DataFrame], pids: Sequence[tuple[str, Column]] |
     """n-ary product of sources with distinct column names.
 
     ``pids`` names a partition id per source, ``keep`` is a predicate over these ids that
-    picks combinations. With it each source is cut by its id first, and combinations that
-    are not kept are never paired.
+    picks combinations. The combinations of ids that occur are made and picked first, a table of as many rows
+    as partitions have combinations, and the sources are joined to it by their ids one after the
+    other: rows of combinations that are not kept are never paired. A null id is one more id.
     """
-    if pids:
-        sources = [s.withColumn(name, expr) for s, (name, expr) in zip(sources, pids)]
-    out = sources[0]
-    for s in sources[1:]:
-        out = out.crossJoin(s.hint("shuffle_replicate_nl"))
-    if keep is not None:
-        out = out.where(keep(*[F.col(name) for name, _ in pids or ()]))
-    return out.drop(*[name for name, _ in pids or ()])
+    if keep is None or not pids:
+        out = sources[0]
+        for s in sources[1:]:
+            out = out.crossJoin(s.hint("shuffle_replicate_nl"))
+        return out
+    names = [name for name, _ in pids]
+    sources = [s.withColumn(name, expr) for s, (name, expr) in zip(sources, pids)]
+    kept = sources[0].select(names[0]).distinct()
+    for s, name in zip(sources[1:], names[1:]):
+        kept = kept.crossJoin(s.select(name).distinct())
+    out = materialize(kept.where(keep(*map(F.col, names))), "combinations").withColumnsRenamed({n: f"__{n}" for n in names})
+    for s, name in zip(sources, names):
+        out = out.join(s, F.col(f"__{name}").eqNullSafe(F.col(name))).drop(name, f"__{name}")
+    return out
 
 
 def filtered_cross(left: DataFrame, right: DataFrame, keep: DataFrame, on: str) -> DataFrame:

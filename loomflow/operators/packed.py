@@ -94,8 +94,8 @@ def fold_items(field: Column, marks: str, keep_quotes: bool) -> Column:
             own["depth"].alias("depth"),
         ))
 
-    # A fold copies its result at every step. Chunks of about sqrt(n) pieces keep that to n x sqrt(n).
-    size = lambda p: F.greatest(F.ceil(F.sqrt(F.size(p))).cast("int"), F.lit(1))
+    # A fold copies its result at every step. Chunks of sqrt(n) pieces, 64 at least, keep that to n x sqrt(n).
+    size = lambda p: F.greatest(F.ceil(F.sqrt(F.size(p))).cast("int"), F.lit(64))
     chunks = lambda p: F.transform(F.sequence(F.lit(1), F.size(p), size(p)), lambda at: F.slice(p, at, size(p)))
     start = F.struct(none.alias("done"), F.lit("").alias("cur"), F.lit(0).alias("depth"))
     whole = lambda p: F.aggregate(F.when(F.size(p) > 0, chunks(p)).otherwise(F.array().cast("array<array<struct<kind:string,text:string>>>")), start, fold_chunk, lambda acc: keep(acc["done"], acc["cur"]))
@@ -138,14 +138,14 @@ def unpack(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     Every value once per key: rows that repeat a key's field give one copy. Rows
     with a null key are left out; null fields and empty ones give no rows.
 
-    Arrays move, not items: a key's arrays meet, repeated ones go, and what is left is spread out
-    where it is. The arrays of a key that holds much of the table are made distinct before they meet.
+    Arrays move, not items: a key's arrays meet, and are spread out and made distinct
+    where they are. Those of a key that holds much of the table are made distinct before they meet.
     """
     ship(df.sparkSession)
     named = df.where(F.col(key).isNotNull())
     rows = named.select(F.col(key).cast("string").alias("row_key"), *[items.alias(f"__f{i}") for i, items in enumerate(fields.values())])
     heavy = materialize(heavy_keys(named.select(F.col(key).cast("string").alias("row_key")), ["row_key"]).select("row_key"), "packed-heavy")
-    light = rows.join(F.broadcast(heavy), "row_key", "left_anti").repartition("row_key").dropDuplicates()
+    light = rows.join(F.broadcast(heavy), "row_key", "left_anti").repartition("row_key")
     hot = rows.join(F.broadcast(heavy), "row_key", "left_semi").distinct()
     listed = F.array(*[F.struct(F.lit(name).alias("field_name"), F.col(f"__f{i}").alias("items")) for i, name in enumerate(fields)])
 
@@ -153,5 +153,5 @@ def unpack(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
         part = part.select("row_key", F.inline(listed))
         return part.select("field_name", "row_key", F.posexplode("items").alias("at", "item")).distinct()
 
-    both = spread(light).unionByName(spread(hot)) if not heavy.isEmpty() else spread(light)
+    both = spread(rows.repartition("row_key")) if heavy.isEmpty() else spread(light).unionByName(spread(hot))
     return both.select("field_name", "row_key", (F.col("at") + 1).alias("pos"), "item")

@@ -43,5 +43,5 @@ def filter_lines(df: DataFrame, text: str, word: str, keep: Sequence[str] = ())
 
 
 def filter_lines_to_one_writer(df: DataFrame, text: str, word: str, keep: Sequence[str] = ()) -> DataFrame:
-    """``filter_lines`` gathered for one writer; only matching lines move."""
-    return filter_lines(df, text, word, keep).coalesce(1)
+    """``filter_lines`` gathered for one writer: tasks filter side by side, only matching lines move."""
+    return filter_lines(df, text, word, keep).repartition(1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.operators import aggregates, cartesian, exchange, joins, sets, sorts, text
-from loomflow.runtime import shared_dir
+from loomflow.runtime import materialize, shared_path
 from loomflow.sources import generators, sinks
 from loomflow.sources.tables import table
 
@@ -195,9 +195,7 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderstatus, count(*) as n, count(distinct o_custkey) as n_cust from orders group by 1")
 def dynamic_partition_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes orders to a folder per status, and reads them back."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/loomflow/dynamic-{uuid.uuid4().hex}"
+    path = shared_path(spark, "dynamic")
     sinks.write_dynamic(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), path, "o_orderstatus")
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("n_cust"))
 
@@ -205,13 +203,11 @@ def dynamic_partition_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'orders' as sink, count(*) as n from orders union all select 'customer', count(*) from customer union all select 'both', (select count(*) from orders) + (select count(*) from customer)")
 def multi_sink_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sinks, one of them shared by two sources, that appear together."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/loomflow/sinks-{uuid.uuid4().hex}"
+    paths = {n: shared_path(spark, f"sink-{n}") for n in ("orders", "customer", "both")}
     a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
     b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    sinks.write_all({f"{base}-orders": a, f"{base}-customer": b, f"{base}-both": a.unionByName(b)})
-    counts = [spark.read.parquet(f"{base}-{n}").agg(F.lit(n).alias("sink"), F.count(F.lit(1)).alias("n")) for n in ("orders", "customer", "both")]
+    sinks.write_all({paths["orders"]: a, paths["customer"]: b, paths["both"]: a.unionByName(b)})
+    counts = [spark.read.parquet(path).agg(F.lit(n).alias("sink"), F.count(F.lit(1)).alias("n")) for n, path in paths.items()]
     return sets.union_all(counts)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,12 +89,30 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/loomflow/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/loomflow/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def files_of(spark: SparkSession, path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; one without a scheme is on the session's default."""
+    if "://" not in path and not path.startswith("file:"):
+        path = (spark.conf.get("spark.hadoop.fs.defaultFS", None) or "").rstrip("/") + os.path.abspath(path)
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = files_of(spark, path)
+    return files.get_file_info(at).type != fs.FileType.NotFound
+
+
 @atexit.register
 def release() -> None:
     """Deletes all tables that ``materialize`` wrote. Long-lived sessions call it once results
@@ -100,9 +120,10 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # the JVM may be gone already
+            files, at = files_of(spark, path)
+            if files.get_file_info(at).type != fs.FileType.NotFound:
+                files.delete_dir(at)
+        except Exception:  # the session may be gone already
             return
 
 

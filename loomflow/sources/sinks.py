@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomflow.runtime import exists, files_of
+
 
 def write_new(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Writes to a path that must not exist."""
@@ -21,11 +23,12 @@ def write_dynamic(df: DataFrame, path: str, by: str, kind: str = "parquet") -> N
 
 def write_all(outputs: dict[str, DataFrame], per_output: bool = False, kind: str = "parquet") -> None:
     """Several sinks of one job. By default all are staged first and moved into place only when
-    every one has succeeded, so a failure leaves none of them; with ``per_output`` each
+    every one has succeeded; if a write or a move fails, outputs already moved are taken away
+    again, so a failure leaves none of them. With ``per_output`` each
     appears as soon as it is written. Moves are renames, not one atomic step."""
     spark = next(iter(outputs.values())).sparkSession
     for path in outputs:
-        if _exists(spark, path):
+        if exists(spark, path):
             raise FileExistsError(path)
     if per_output:
         for path, df in outputs.items():
@@ -35,12 +38,22 @@ def write_all(outputs: dict[str, DataFrame], per_output: bool = False, kind: str
     try:
         for path, df in outputs.items():
             write_new(df, staged[path], kind)
-        for path, stage in staged.items():
-            _fs(spark, path).rename(_path(spark, stage), _path(spark, path))
+        moved: list[str] = []
+        try:
+            for path, stage in staged.items():
+                files, at = files_of(spark, path)
+                files.move(files_of(spark, stage)[1], at)  # raises if it fails
+                moved.append(path)
+        except BaseException:
+            for path in moved:
+                files, at = files_of(spark, path)
+                files.delete_dir(at)
+            raise
     finally:
         for stage in staged.values():
-            if _exists(spark, stage):
-                _fs(spark, stage).delete(_path(spark, stage), True)
+            if exists(spark, stage):
+                files, at = files_of(spark, stage)
+                files.delete_dir(at)
 
 
 def write_bucketed(df: DataFrame, name: str, by: str, buckets: int) -> None:
@@ -61,14 +74,3 @@ def write_dated(events: DataFrame, path: str, time_ms: str, kind: str = "parquet
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast(floor({time_ms} / 86400000) as int)"))
     events.withColumn("date", day).write.mode("append").partitionBy("date").format(kind).save(path)
 
-
-def _path(spark: SparkSession, path: str):  # noqa: ANN202 - a JVM object
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _fs(spark: SparkSession, path: str):  # noqa: ANN202
-    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    return _fs(spark, path).exists(_path(spark, path))

@@ -178,3 +178,19 @@ def test_scalars(spark):
     assert one(scalars.detailed_status(F.lit("KILLED"), F.lit("LOST"))) == "KILLED:LOST" and one(scalars.detailed_status(F.lit("KILLED"), F.lit(""))) == "KILLED"
     assert one(scalars.one_line(F.lit("a,b\nc"))) == "a b c" and one(scalars.ratio(lit(1), lit(0))) is None
     assert one(scalars.rounded(F.lit(2.675), 2)) == 2.68 and one(scalars.rounded(F.lit(-1.5), 0)) == -1.0
+
+
+def test_combinations_not_kept_are_never_paired(spark, plan):
+    a, b = spark.range(40).withColumnRenamed("id", "a"), spark.range(30).withColumnRenamed("id", "b")
+    pids = [("p", exchange.modulo_id(F.col("a"), 5)), ("q", exchange.modulo_id(F.col("b"), 3))]
+    got = cartesian.cartesian([a, b], pids, lambda p, q: p == q + 1)
+    assert {tuple(r) for r in got.collect()} == {(x, y) for x in range(40) for y in range(30) if x % 5 == y % 3 + 1}
+    text = plan(got)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_one_writer_filters_in_parallel(spark, plan):
+    df = spark.range(100, numPartitions=4).select(F.concat(F.lit("w x"), F.col("id")).alias("t"))
+    out = text.filter_lines_to_one_writer(df, "t", "x1")
+    assert "Coalesce" not in plan(out).split("== Physical Plan ==")[1]
+    assert out.count() == 11

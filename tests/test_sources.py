@@ -57,12 +57,40 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         sinks.write_all({f"{tmp_path}/p": df, f"{tmp_path}/q": broken})
     assert sorted(p.name for p in tmp_path.iterdir()) == ["dyn", "group", "one"]  # neither of both
-    sinks.write_all({f"{tmp_path}/p": df, f"{tmp_path}/q": df})
+    sinks.write_all({f"{tmp_path}/p": df, f"file:{tmp_path}/q": df})
     assert spark.read.parquet(f"{tmp_path}/q").count() == 10
     with pytest.raises(FileExistsError):
         sinks.write_all({f"{tmp_path}/p": df})
 
 
+def test_second_move_fails(spark, tmp_path, monkeypatch):
+    """Both outputs are staged, the second can't be moved into place: neither is left."""
+    df, moved = spark.range(3), []
+    real = sinks.files_of
+
+    class Failing:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def move(self, a, b):
+            moved.append(b)
+            if len(moved) == 2:
+                raise OSError("no")
+            self.files.move(a, b)
+
+    def files_of(spark, path):
+        files, at = real(spark, path)
+        return Failing(files), at
+
+    monkeypatch.setattr(sinks, "files_of", files_of)
+    with pytest.raises(OSError, match="no"):
+        sinks.write_all({f"{tmp_path}/a": df, f"{tmp_path}/b": df})
+    assert len(moved) == 2 and list(tmp_path.iterdir()) == []
+
+
 def event(kind, at, attempt, **data):
     return {"event_type": kind, "event_time": at, "dag_id": "d", "vertex_id": "v", "task_id": "t", "task_attempt_id": attempt, "event_data": data}
 
