@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from loomflow.llm.leakage import anchored_windows, leaked_passages, proximity_matches, window_matches
 from loomflow.llm.words import words
 
@@ -65,21 +67,39 @@ def test_blocks_of_items(spark, monkeypatch):
     import loomflow.llm.leakage as module
 
     monkeypatch.setattr(module, "BLOCK_WORDS", 10)
-    monkeypatch.setattr(module, "BROADCAST_IDS", 0)
+    built = []
+    monkeypatch.setattr(module, "build_index", lambda *a, f=module.build_index: built.append(1) or f(*a))
     items = [(k, " ".join(f"w{k}x{j}" for j in range(8))) for k in range(5)]
     docs = [(k, f"a b {t} c") for k, t in items]
     assert run(spark, docs, items, 6) == {(k, k): 8 for k in range(5)}
+    assert len(built) == 1  # all blocks read one index
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_different_texts_under_one_id(spark, swapped):
+    """Both rows have all of the item's words; one of them in its order. No other row may hide it."""
+    item = "a b c d e f g h"
+    texts = [f"x {item} y", " ".join(reversed(item.split())), "h a"]
+    docs = spark.createDataFrame([(1, t) for t in (reversed(texts) if swapped else texts)] + [(2, texts[1])], "doc long, text string").coalesce(1)
+    items = spark.createDataFrame([(9, item)], "item long, text string")
+    assert [tuple(r) for r in leaked_passages(docs, "doc", "text", items, "item", "text", 6).collect()] == [(1, 9, 8, 1, 0)]
+    assert sorted(tuple(r)[:2] for r in proximity_matches(docs, "doc", "text", items, "item", "text").collect()) == [(1, 9), (2, 9)]
 
 
-def test_bitmap_lets_all_wanted_pass(spark, monkeypatch):
+def test_a_frequent_anchor_is_spread_over_shards(spark, monkeypatch):
+    """A word of every document is the anchor: its postings lie in as many shards as the documents do."""
     import loomflow.llm.leakage as module
 
-    rows = spark.range(20_000).selectExpr("id as doc", "'t' as text")
-    wanted = spark.range(0, 20_000, 7).selectExpr("id as doc")
-    for bits, most in ((1 << 27, 3400), (1 << 16, 4000)):
-        monkeypatch.setattr(module, "BITMAP_BITS", bits)
-        passed = {r.doc for r in module._maybe_in(rows, wanted, 2858).collect()}
-        assert set(range(0, 20_000, 7)) <= passed and len(passed) <= most
+    monkeypatch.setattr(module, "SHARD_WORDS", 50)
+    monkeypatch.setattr(module, "PAIRS", 7)
+    rng = random.Random(5)
+    docs = [(k, " ".join(rng.choice("ab") for _ in range(rng.randrange(12)))) for k in range(200)]
+    items = [(1, "a b b a"), (2, "a a a a a")]
+    assert run(spark, docs, items, 4) == brute(docs, items, 4)
+    index = module.build_index(spark.createDataFrame(docs, "doc long, text string"), "doc", "text")
+    held = [r for r in index.collect() if "a" in r["terms"]]
+    assert len(held) > 15 and max(sum(r["term_words"]) for r in held) < 70
+    assert module.document_frequencies(index, {"a", "zz"}) == {"a": sum("a" in t for _, t in docs)}
 
 
 def test_windows_with_unknown_words_are_left_out():
