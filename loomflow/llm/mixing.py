@@ -103,8 +103,8 @@ def mix(
     ``targets`` has ``source``, ``target_share`` and ``max_repeats``, one row per source,
     at most 100,000; shares are taken as they are. ``report`` has a row per target: ``source`` as
     in targets, ``target_share``, ``max_repeats``, ``available_tokens``, ``quota_blocks``,
-    ``drawn_tokens``, ``actual_share`` (of all drawn tokens) and ``short``: max_repeats times
-    its tokens is less than its share of the total. ``drawn`` has (doc_id, ``source``,
+    ``drawn_tokens``, ``actual_share`` (of all drawn tokens), ``asked_tokens`` (its share of the total) and ``short``: its
+    quota is all it may give, and what was drawn is still less than asked. ``drawn`` has (doc_id, ``source``,
     ``n_tokens``, ``repeats``), a row per drawn document.
 
     Documents with a null or blank source aren't part of the mix; sources without a target
@@ -166,10 +166,10 @@ def mix(
     drawn_tokens = {r["key"]: r["t"] for r in picked.groupBy("key").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t")).collect()}
     drawn_all = sum(drawn_tokens.values())
     rows = [
-        (g["source"], share[i], repeats[i], tokens[i], quotas[i], drawn_tokens.get(k, 0), drawn_tokens.get(k, 0) / drawn_all if drawn_all else None, repeats[i] * tokens[i] < share[i] * everything)
+        (g["source"], share[i], repeats[i], tokens[i], quotas[i], drawn_tokens.get(k, 0), drawn_tokens.get(k, 0) / drawn_all if drawn_all else None, share[i] * everything, quotas[i] >= caps[i] and drawn_tokens.get(k, 0) < share[i] * everything)
         for i, (g, k) in enumerate(zip(goals, wanted))
     ]
-    report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens long, quota_blocks long, drawn_tokens long, actual_share double, short boolean")
+    report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens long, quota_blocks long, drawn_tokens long, actual_share double, asked_tokens double, short boolean")
     names = spark.createDataFrame([(g["key"], g["source"]) for g in goals], "key string, source string")
     drawn = laid.join(picked.select("key", "shard", "block", "repeats"), ["key", "shard", "block"]).join(F.broadcast(names), "key")
     return report, drawn.select(F.col("doc").alias(doc_id), "source", "n_tokens", "repeats")

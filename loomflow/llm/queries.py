@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.llm import leakage, mixing, quantiles, repetition, topn
+from loomflow.operators.skew import hot_join
+from loomflow.runtime import materialize
 from loomflow.sources.tables import table
 
 #: Section of the sketches: the rank of share q of n values is off by about (n - qn) / 256 at most, of a
@@ -42,6 +44,30 @@ def p1_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("vertex_name", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(SHARES)])
 
 
+def p1_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vertex_name its values, and whether every percentile's true rank is within the stated bound: of sketches of all
+    values, and of merged sketches of days."""
+    values = materialize(attempt_values(spark, sf_dir), "percentile-values")
+    out = None
+    for name, found in (("within_bound", p1_percentiles(spark, sf_dir)), ("days_within_bound", p1_from_days(spark, sf_dir))):
+        ranked = hot_join(values, found, ["vertex_name"], "n")
+        ranks = [x for p in SHARES for x in (F.count_if(F.col("time_taken") < F.col(p)).alias(f"{p}_below"), F.count_if(F.col("time_taken") <= F.col(p)).alias(f"{p}_upto"))]
+        per = ranked.groupBy("vertex_name").agg(F.count(F.lit(1)).alias("n"), *ranks)
+        ok = F.lit(True)
+        for p, q in SHARES.items():
+            target = F.greatest(F.ceil(F.col("n") * q - 1e-9), F.lit(1))
+            error = F.greatest(F.col(f"{p}_below") + 1 - target, target - F.col(f"{p}_upto"), F.lit(0))
+            ok = ok & (error <= (F.col("n") - target) / SECTION + 1)
+        per = per.select("vertex_name", "n", ok.alias(name))
+        out = per if out is None else out.join(per.drop("n"), "vertex_name")
+    return out
+
+
+P1_WITHIN_BOUND_SQL = """
+select vertex_name, count(distinct task_attempt_id) as n, true as within_bound, true as days_within_bound from attempts
+where task_attempt_id is not null and vertex_name is not null and time_taken >= 0 group by 1
+"""
+
 P1_FOUND_SQL = """
 with v as (
   select vertex_name, task_attempt_id, max(time_taken) as t from attempts
@@ -149,6 +175,32 @@ def p9_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"), total_tokens="reachable")[0]
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source, from the drawn documents themselves: ``reported``: the report has their tokens; ``within_repeats``: none
+    is drawn more often than it may be; ``whole_if_short``: a short source is drawn whole, as often as it may be;
+    ``near_target``: another one is off its target by 5 percent and two blocks at most."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    report, drawn = mixing.mix(docs, "doc_id", "source", "text", targets)
+    per = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most"), F.max("n_tokens").alias("longest"))
+    rows = report.join(per, "source", "left").na.fill(0, ["tokens", "most", "longest"])
+    off = F.abs(F.col("tokens") - F.col("asked_tokens"))
+    return rows.select(
+        "source", (F.col("tokens") == F.col("drawn_tokens")).alias("reported"), (F.col("most") <= F.col("max_repeats")).alias("within_repeats"),
+        (~F.col("short") | (F.col("tokens") == F.col("max_repeats") * F.col("available_tokens"))).alias("whole_if_short"),
+        (F.col("short") | (off <= 0.05 * F.col("asked_tokens") + 2 * (mixing.BLOCK_TOKENS + F.col("longest")))).alias("near_target"),
+    )
+
+
+#: Tokens are counted as the pieces that byte-level tokenizers split first, since usual tokenizers agree on the sources.
+P9_FOUND_SQL = r"""
+with d as (select regexp_replace(lower(source), '[^\p{L}\p{N}]+', '', 'g') as k, len(regexp_extract_all(coalesce(text, ''), ' ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) as n from documents where source is not null),
+t as (select k, sum(n) as n from d where k <> '' group by 1)
+select source from mix_targets left join t on k = regexp_replace(lower(source), '[^\p{L}\p{N}]+', '', 'g') where max_repeats * coalesce(n, 0) < target_share * (select sum(n) from t)
+"""
+
+P9_CHECKS_SQL = "select source, true as reported, true as within_repeats, true as whole_if_short, true as near_target from mix_targets"
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text", grams=[(6, 3)], lines=False)
     return shares.where("n_words > 0 and words_6_3 * 100 >= 40 * n_words").select("doc_id")
@@ -200,6 +252,7 @@ def queries() -> dict:
         "p1_found": p1_found,
         "p1_percentiles": p1_percentiles,
         "p1_from_days": p1_from_days,
+        "p1_within_bound": p1_within_bound,
         "p4_found": p4_found,
         "p8_found": p8_found,
         "p8_passages": p8_passages,
@@ -210,10 +263,11 @@ def queries() -> dict:
         "p9_report": p9_report,
         "p9_drawn": p9_drawn,
         "p9_reached": p9_reached,
+        "p9_checks": p9_checks,
         "p10_found": p10_found,
         "p10_repetition": p10_repetition,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_items": P8_ITEMS_SQL, "p8_near": P8_NEAR_SQL, "p10_found": P10_FOUND_SQL, "p10_repetition": P10_REPETITION_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_within_bound": P1_WITHIN_BOUND_SQL, "p9_found": P9_FOUND_SQL, "p9_checks": P9_CHECKS_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_items": P8_ITEMS_SQL, "p8_near": P8_NEAR_SQL, "p10_found": P10_FOUND_SQL, "p10_repetition": P10_REPETITION_SQL}

@@ -53,6 +53,47 @@ def test_merged_in_any_shape():
     assert worst(values, sketches[0]) <= 1
 
 
+@pytest.mark.parametrize("order", ["sorted", "reversed", "shuffled", "zigzag", "organ"])
+@pytest.mark.parametrize("merging", ["chain", "tree", "uneven", "one"])
+@pytest.mark.parametrize("seed", range(4))
+def test_stress(order, merging, seed):
+    """Adverse orders and merges. The bound is measured by these runs, the coins being fixed."""
+    rng = np.random.default_rng(seed)
+    n = (20_000, 60_000, 120_000, 33_333)[seed]
+    values = np.sort(rng.lognormal(0, 4, n) if seed % 2 else rng.integers(0, n // 3, n).astype(float))
+    half = np.stack((values[: n // 2], values[n - n // 2 :][::-1]), axis=1).ravel()
+    values = {"sorted": values, "reversed": values[::-1], "shuffled": rng.permutation(values), "zigzag": half, "organ": np.concatenate((values[::2], values[1::2][::-1]))}[order]
+    cuts = np.sort(rng.integers(0, len(values), 40)) if merging == "uneven" else np.linspace(0, len(values), 41).astype(int)[1:-1]
+    sketches = []
+    for part in np.split(values, cuts):
+        sketches.append(RankSketch())
+        sketches[-1].add(part)
+    if merging == "one":
+        sketches = [RankSketch()]
+        for part in np.split(values, cuts):
+            sketches[0].add(part)
+    while len(sketches) > 1:
+        if merging == "tree":
+            for a, b in zip(sketches[::2], sketches[1::2]):
+                a.merge(b)
+            sketches = sketches[::2]
+        else:
+            sketches[0].merge(sketches.pop(1))
+    assert sketches[0].count == len(values) and worst(values, sketches[0]) <= 1
+
+
+def test_no_task_reads_everything(spark, plan):
+    """Neither a column without keys nor a hot key meets in one task before partial sketches are merged."""
+    df = spark.range(0, 200_000, 1, 6).selectExpr("id % 1000 as v", "'hot' as k")
+    for keys in ([], ["k"]):
+        merged = merge_sketches(sketch_by(df, keys, "v"), keys)
+        text = plan(merged).split("== Physical Plan ==")[1]
+        assert "Coalesce 1" not in text and text.count("MapInArrow join") == 2 and text.count("Exchange") >= 2
+        row = merged.withColumn("q", sketch_quantiles([0.5])).first()
+        assert row["n"] == 200_000 and abs(row["q"][0] - 500) <= 1000 / 128 + 1
+    assert merge_sketches(sketch_by(df.limit(0), [], "v"), []).count() == 0
+
+
 def test_small_is_exact_and_empty():
     s = RankSketch()
     s.add(np.array([3.0, 1.0, 2.0, 2.0]))
