@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomflow.functions.scalars import detailed_status, one_line, or_zero, ratio, rounded
-from loomflow.history.model import with_counters
+from loomflow.functions.scalars import detailed_status, one_line, or_zero, post_data_ms, ratio, rounded
+from loomflow.history.model import by_source, last_data, with_counters
 from loomflow.operators.running import previous, running_sum
+from loomflow.operators.skew import hot_join
 from loomflow.runtime import materialize
 
 MIB = 1 << 20
@@ -71,6 +72,49 @@ def skew(facts: DataFrame, counters: DataFrame, shuffle_bytes: int = 900 * MIB)
     return rows.select("dag_id", "vertex_name", "task_attempt_id", "shuffle_bytes", rounded(groups, 6).alias("groups_share"), rounded(part, 6).alias("records_share"), F.explode(found).alias("finding"))
 
 
+def shuffle_time_by_source(facts: DataFrame, counters: DataFrame, least_work: float = 0.5, least_records: int = 10_000) -> DataFrame:
+    """Per attempt and source (counter group) of more than ``least_records`` records: groups to records, bytes, event, merge
+    and shuffle times, the work left without the merge, and ``slow``: it is less than ``least_work`` of the time."""
+    names = ["REDUCE_INPUT_GROUPS", "REDUCE_INPUT_RECORDS", "SHUFFLE_BYTES", "SHUFFLE_BYTES_DISK_DIRECT", "MERGE_PHASE_TIME", "SHUFFLE_PHASE_TIME", "FIRST_EVENT_RECEIVED", "LAST_EVENT_RECEIVED"]
+    rows = by_source(facts.select("dag_id", "vertex_name", "task_attempt_id", "node_id", "time_taken"), counters, names)
+    rows = rows.where(F.col("reduce_input_records") > least_records).where("reduce_input_groups > 0")
+    work = F.col("time_taken") - F.col("merge_phase_time")
+    return rows.select(
+        "*", rounded(ratio(F.col("reduce_input_groups"), F.col("reduce_input_records")), 6).alias("groups_share"), work.alias("work_ms"),
+        (F.col("last_event_received") - F.col("first_event_received")).alias("events_ms"), (ratio(work, F.col("time_taken")) < least_work).alias("slow"),
+    )
+
+
+def skew_by_source(facts: DataFrame, counters: DataFrame, shuffle_bytes: int = 900 * MIB) -> DataFrame:
+    """``skew`` for each source (counter group) by itself: an attempt's records are compared with those that all
+    attempts of its vertex have of the same source."""
+    rows = by_source(facts.select("dag_id", "vertex_name", "task_attempt_id"), counters, ["SHUFFLE_BYTES", "REDUCE_INPUT_RECORDS", "REDUCE_INPUT_GROUPS"])
+    rows = materialize(rows, "skew-sources")
+    keys = ["dag_id", "vertex_name", "counter_group"]
+    totals = rows.groupBy(*keys).agg(F.sum("reduce_input_records").alias("source_records"), F.count(F.lit(1)).alias("n"))
+    rows = hot_join(rows, totals, keys, "n")
+    groups, part = ratio(F.col("reduce_input_groups"), F.col("reduce_input_records")), ratio(F.col("reduce_input_records"), F.col("source_records"))
+    large = F.col("shuffle_bytes") > shuffle_bytes
+    found = F.array_compact(F.array(
+        F.when(large & (groups < 0.2), "partitioning"),
+        F.when((F.col("n") > 1) & (part > 0.6), "skew above 0.6").when((F.col("n") > 1) & (part > 0.4), "skew above 0.4"),
+        F.when(large & (groups > 0.2) & (groups < 0.4), "parallelism"),
+    ))
+    return rows.select(*keys, "task_attempt_id", "shuffle_bytes", rounded(groups, 6).alias("groups_share"), rounded(part, 6).alias("records_share"), F.explode(found).alias("finding"))
+
+
+def slow_hosts(facts: DataFrame, counters: DataFrame) -> DataFrame:
+    """Per host (a node without its port): attempts by status, their mean times (0 for none) and six mean counters."""
+    names = ["HDFS_BYTES_READ", "HDFS_BYTES_WRITTEN", "FILE_BYTES_READ", "FILE_BYTES_WRITTEN", "GC_TIME_MILLIS", "CPU_MILLISECONDS"]
+    rows = with_counters(facts.where("node_id is not null").withColumn("host", F.split("node_id", ":")[0]), counters, names)
+    aggs = [F.count(F.lit(1)).alias("n_attempts")]
+    for s in ("SUCCEEDED", "FAILED", "KILLED"):
+        mine = F.col("status") == s
+        aggs += [F.count_if(mine).alias(f"n_{s.lower()}"), F.coalesce(rounded(F.avg(F.when(mine, F.col("time_taken"))), 2), F.lit(0.0)).alias(f"{s.lower()}_ms")]
+    aggs += [F.coalesce(rounded(F.avg(n.lower()), 2), F.lit(0.0)).alias(f"mean_{n.lower()}") for n in names]
+    return rows.groupBy("host").agg(*aggs)
+
+
 def slowest_vertex(facts: DataFrame, counters: DataFrame, slow_ms: int = 100_000, exact: bool = True) -> DataFrame:
     """Per vertex: makespan, longest shuffle, percentiles of attempt times, and a ``finding``.
 
@@ -174,6 +218,47 @@ def dag_overview(dags: DataFrame, vertices: DataFrame, facts: DataFrame) -> Data
     return out.where("dag_id is not null").orderBy("dag_id", "at_ms", "event", "entity")
 
 
+def dag_failures(vertices: DataFrame, facts: DataFrame) -> DataFrame:
+    """The failures of each dag, with the task numbers of their vertex: vertices with a failed attempt (the one of the least
+    id), tasks whose last attempt failed, and the failed attempts of these tasks: (dag_id, ``entity``, ``event``, ``at_ms``,
+    ``num_tasks``, ``failed_tasks``, ``completed_tasks``, ``diagnostics``)."""
+    stats = vertices.select(F.col("vertex_id").alias("v"), F.col("finish_time"), "num_tasks", "failed_tasks", "completed_tasks")
+    failed = facts.where("status = 'FAILED' and vertex_id is not null and dag_id is not null")
+    text = one_line(F.coalesce("diagnostics", F.lit("")))
+    first = failed.groupBy("dag_id", "vertex_id").agg(F.min_by(F.struct("task_attempt_id", text.alias("text")), "task_attempt_id").alias("a"))
+    of_vertices = first.join(stats, F.col("vertex_id") == F.col("v")).select("dag_id", F.col("vertex_id").alias("entity"), F.lit("VERTEX_FINISHED").alias("event"), F.col("finish_time").alias("at_ms"), "num_tasks", "failed_tasks", "completed_tasks", F.concat("a.task_attempt_id", F.lit(": "), "a.text").alias("diagnostics"))
+    number = F.regexp_extract("task_attempt_id", r"_(\d+)$", 1).try_cast("long")
+    last = facts.where("task_id is not null").groupBy("task_id").agg(F.max_by(F.struct("dag_id", "vertex_id", "status", "end_time", text.alias("text")), F.struct(number, "task_attempt_id")).alias("last"))
+    tasks = materialize(last.where("last.status = 'FAILED' and last.dag_id is not null").select("task_id", "last.*"), "failed-tasks")
+    of_tasks = tasks.join(stats, F.col("vertex_id") == F.col("v")).select("dag_id", F.col("task_id").alias("entity"), F.lit("TASK_FINISHED").alias("event"), F.col("end_time").alias("at_ms"), "num_tasks", "failed_tasks", "completed_tasks", F.col("text").alias("diagnostics"))
+    attempts = failed.join(tasks.select("task_id"), "task_id", "left_semi").join(stats, F.col("vertex_id") == F.col("v"))
+    of_attempts = attempts.select("dag_id", F.col("task_attempt_id").alias("entity"), F.lit("TASK_ATTEMPT_FINISHED").alias("event"), F.col("end_time").alias("at_ms"), "num_tasks", "failed_tasks", "completed_tasks", text.alias("diagnostics"))
+    return of_vertices.unionByName(of_tasks).unionByName(of_attempts)
+
+
+def attempts_of(facts: DataFrame, field: str) -> DataFrame:
+    """(dag_id, ``field``, task_attempt_id, ``place`` from 1): which attempts of a dag each node or container ran, by start."""
+    rows = facts.where(F.col(field).isNotNull()).select("dag_id", field, F.coalesce("start_time", F.lit(0)).alias("start"), "task_attempt_id")
+    ranked = running_sum(rows, ["dag_id", field], ["start", "task_attempt_id"], F.lit(1), "place")
+    return ranked.select("dag_id", field, "task_attempt_id", F.col("place").cast("int").alias("place"))
+
+
+def post_data_metrics(facts: DataFrame, vertices: DataFrame, dags: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per vertex: ``data_ms`` and ``data_ta``, the last data event and its attempt; ``post_data_ms``, the mean time from the later of
+    it and the start to the end over the succeeded attempt of each task, -1 for none; ``finish_interval``, from
+    the dag's start to the vertex's finish, to its last attempt's end where it has none."""
+    data = last_data(facts, edges)
+    won = facts.where("status = 'SUCCEEDED' and task_id is not null").groupBy("vertex_id", "task_id").agg(F.max_by(F.struct("start_time", "end_time"), F.struct("end_time", "task_attempt_id")).alias("a"))
+    rows = won.select("vertex_id", "a.*").join(data.select("vertex_id", "data_ms"), "vertex_id", "left")
+    rows = rows.withColumn("post", post_data_ms(F.col("start_time"), F.col("end_time"), F.col("data_ms"))).where("post >= 0")
+    mean = rows.groupBy("vertex_id").agg(F.floor(F.avg("post") + 0.5).cast("long").alias("post_data_ms"))
+    last = facts.where("end_time > 0").groupBy("vertex_id").agg(F.max("end_time").alias("last_end"))
+    out = vertices.select("vertex_id", "dag_id", "vertex_name", "finish_time").join(dags.select("dag_id", F.col("start_time").alias("dag_start")), "dag_id", "left")
+    out = out.join(data, "vertex_id", "left").join(mean, "vertex_id", "left").join(last, "vertex_id", "left")
+    interval = F.when(F.col("finish_time") >= F.col("dag_start"), F.col("finish_time") - F.col("dag_start")).otherwise(F.col("last_end") - F.col("dag_start"))
+    return out.select("dag_id", "vertex_id", "vertex_name", "data_ta", "data_ms", F.coalesce("post_data_ms", F.lit(-1)).alias("post_data_ms"), interval.alias("finish_interval"))
+
+
 def hung_tasks(facts: DataFrame) -> DataFrame:
     """Per task its number of attempts and the last one's id, status and time, longest first."""
     number = F.regexp_extract("task_attempt_id", r"_(\d+)$", 1).cast("long")

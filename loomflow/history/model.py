@@ -65,6 +65,69 @@ def derived_counters(facts: DataFrame) -> DataFrame:
     return base.select("entity_id", F.explode(pairs).alias("c")).select("entity_id", "c.*").where("value is not null")
 
 
+#: name -> SQL of a counter of one input of an attempt, over ``b`` and ``i`` as above and ``k``, the input's number.
+SOURCE_COUNTERS = {
+    "REDUCE_INPUT_RECORDS": "b * (5 + k) + i",
+    "REDUCE_INPUT_GROUPS": "cast(floor((b * (5 + k) + i) * ((i + 3 * k) % 10 + 1) / 20) as bigint)",
+    "SHUFFLE_BYTES": "b * 40009 * (k + 1)",
+    "SHUFFLE_BYTES_DISK_DIRECT": "b * 101 * k",
+    "MERGE_PHASE_TIME": "cast(floor(b * (3 - k) / 4) as bigint)",
+    "SHUFFLE_PHASE_TIME": "cast(floor(b / (k + 3)) as bigint)",
+    "FIRST_EVENT_RECEIVED": "i + k",
+    "LAST_EVENT_RECEIVED": "i + k + cast(floor(b / 7) as bigint)",
+}
+#: Counters of whole attempts that the report of nodes has beside time.
+NODE_COUNTERS = {
+    "HDFS_BYTES_READ": ("FileSystemCounter", "b * 1009"),
+    "HDFS_BYTES_WRITTEN": ("FileSystemCounter", "b * 503 + i"),
+    "FILE_BYTES_READ": ("FileSystemCounter", "b * 2003"),
+    "FILE_BYTES_WRITTEN": ("FileSystemCounter", "case when i % 3 > 0 then b * 997 end"),
+    "GC_TIME_MILLIS": ("TaskCounter", "cast(floor(b / 50) as bigint)"),
+    "CPU_MILLISECONDS": ("TaskCounter", "cast(floor(b * 3 / 4) as bigint)"),
+}
+_SOURCES = ("source_0", "source_1")
+SOURCE_COUNTERS_SQL = " union all ".join(
+    f"select f.*, 'TaskCounter_' || vertex_name || '_INPUT_{name}' as counter_group, " + ", ".join(f"{e.replace('k', str(k))} as {n.lower()}" for n, e in SOURCE_COUNTERS.items())
+    + " from (select *, " + _BASE.format(task="regexp_extract(task_id, '_(\\d+)$', 1)") + f" from f where vertex_name is not null) f"
+    for k, name in enumerate(_SOURCES)
+)
+NODE_COUNTERS_SQL = (
+    "select f.*, " + ", ".join(f"{e} as {n.lower()}" for n, (_, e) in NODE_COUNTERS.items()) + " from (select *, " + _BASE.format(task="regexp_extract(task_id, '_(\\d+)$', 1)") + " from f) f"
+)
+
+
+def _numbered(facts: DataFrame) -> DataFrame:
+    return facts.selectExpr("task_attempt_id as entity_id", "vertex_name", *_BASE.format(task="regexp_extract(task_id, '_([0-9]+)$', 1)").replace(" as b, ", " as b|").split("|"))
+
+
+def source_counters(facts: DataFrame) -> DataFrame:
+    """(entity_id, counter_group, counter_name, value) with a group per input of each attempt."""
+    base = _numbered(facts).where("vertex_name is not null")
+    groups = [(F.concat(F.lit("TaskCounter_"), F.col("vertex_name"), F.lit(f"_INPUT_{name}")), k) for k, name in enumerate(_SOURCES)]
+    cells = F.array(*[F.struct(g.alias("counter_group"), F.lit(n).alias("counter_name"), F.expr(e.replace("k", str(k))).cast("long").alias("value")) for g, k in groups for n, e in SOURCE_COUNTERS.items()])
+    return base.select("entity_id", F.inline(cells)).where("value is not null")
+
+
+def node_counters(facts: DataFrame) -> DataFrame:
+    """(entity_id, counter_group, counter_name, value) of the counters that a report of nodes has."""
+    cells = F.array(*[F.struct(F.lit(g).alias("counter_group"), F.lit(n).alias("counter_name"), F.expr(e).cast("long").alias("value")) for n, (g, e) in NODE_COUNTERS.items()])
+    return _numbered(facts).select("entity_id", F.inline(cells)).where("value is not null")
+
+
+def by_source(facts: DataFrame, counters: DataFrame, names: list[str]) -> DataFrame:
+    """Attempts with ``counter_group`` and a column per named counter, a row for each group an attempt has."""
+    cells = [F.max(F.when(F.col("counter_name") == n, F.col("value"))).alias(n.lower()) for n in names]
+    wide = counters.where(F.col("counter_name").isin(names)).groupBy("entity_id", "counter_group").agg(*cells)
+    return facts.join(wide, facts["task_attempt_id"] == wide["entity_id"]).drop("entity_id")
+
+
+def last_data(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vertex_id, ``data_ta``, ``data_ms``): the last attempt to succeed of a vertex's sources, and when: its last data event."""
+    done = facts.where("status = 'SUCCEEDED' and end_time > 0").groupBy("vertex_id").agg(F.max(F.struct("end_time", "task_attempt_id")).alias("end"))
+    fed = edges.select(F.col("source_vertex").alias("vertex_id"), "destination_vertex").join(done, "vertex_id").groupBy("destination_vertex").agg(F.max("end").alias("end"))
+    return fed.select(F.col("destination_vertex").alias("vertex_id"), F.col("end.task_attempt_id").alias("data_ta"), F.col("end.end_time").alias("data_ms"))
+
+
 def with_counters(facts: DataFrame, counters: DataFrame, names: list[str]) -> DataFrame:
     """Attempts with a column per named counter (null where absent)."""
     wide = counters.where(F.col("counter_name").isin(names)).groupBy("entity_id").agg(*[F.max(F.when(F.col("counter_name") == n, F.col("value"))).alias(n.lower()) for n in names])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.operators import aggregates, cartesian, exchange, joins, sets, sorts, text
-from loomflow.runtime import materialize, shared_path
+from loomflow.runtime import shared_path
 from loomflow.sources import generators, sinks
 from loomflow.sources.tables import table
 
@@ -269,14 +269,100 @@ def generated_join_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.validate_keys(joins.intersect_keys(big, small, ["value"]), expected, ["value"])
 
 
-@query()
+def _rows(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "lineitem").count()
+
+
+_BIG = "select 'term_' || i || '_' || substr(md5('7:' || i), 1, 12) as value from (select unnest(range(0, n)) as i from (select count(*) as n from lineitem))"
+
+
+@query(f"select value from ({_BIG}) where cast(split_part(value, '_', 2) as bigint) < (select least(cast(floor(count(*) * 0.2) as bigint), count(*) // 4) from lineitem)")
+def generated_join_of_input_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``generated_join``, the large side of as many keys as ``lineitem`` has rows."""
+    n = _rows(spark, sf_dir)
+    big, small, _ = generators.join_data(spark, n, n // 4, 0.2, seed=7)
+    return joins.intersect_keys(big, small, ["value"])
+
+
+_LIST = "[" + ", ".join(f"'{w}'" for w in generators.WORDS) + "]"
+
+
+@query(f"""with r as (select i, 20 + cast('0x' || substr(md5('3:2:' || i), 1, 8) as bigint) % 81 as n from (select unnest(range(0, (select count(*) // 10 from lineitem))) as i)),
+w as (select i, unnest(range(1, n + 1)) as k from r)
+select {_LIST}[1 + cast('0x' || substr(md5('3:2:' || i || ':' || k), 1, 8) as bigint) % {len(generators.WORDS)}] as word, count(*) as cnt from w group by 1""")
 def random_text_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.word_count(generators.random_text(spark, 10_000, seed=3), "value")
+    """Word counts of generated sentences, one per ten rows of ``lineitem``."""
+    return text.word_count(generators.random_text(spark, _rows(spark, sf_dir) // 10, seed=3), "value")
+
+
+_STREAM = {"key": "substr(sha256('3k0:' || i), 1, 20)", "value": "substr(sha256('3v0:' || i) || sha256('3v1:' || i) || sha256('3v2:' || i), 1, 180)"}
 
 
-@query()
+@query(f"select row_number() over (order by {_STREAM['key']}) as position, {_STREAM['key']} as key, {_STREAM['value']} as value from (select unnest(range(0, (select count(*) from lineitem))) as i)")
 def random_bytes_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sorts.total_sort(generators.random_bytes(spark, 10_000, seed=3), ["key"])
+    """Generated records in total order, as many as ``lineitem`` has rows, in hexadecimal, with where the sort put them."""
+    ordered = sorts.with_positions(sorts.total_sort(generators.random_bytes(spark, _rows(spark, sf_dir), seed=3), ["key"]))
+    return ordered.select("position", F.lower(F.hex("key")).alias("key"), F.lower(F.hex("value")).alias("value"))
+
+
+@query("select row_number() over (order by l_extendedprice, l_orderkey, l_linenumber) as position, l_extendedprice, l_orderkey, l_linenumber from lineitem")
+def total_order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a total sort put each row: the order itself is compared."""
+    keys = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+    return sorts.with_positions(sorts.total_sort(table(spark, sf_dir, "lineitem").select(*keys), keys))
+
+
+@query("select l_suppkey, count(*) as n, cast(0 as bigint) as n_misplaced, 1 as n_partitions from lineitem group by 1")
+def partition_sort_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per key of a partition sort: rows, rows that don't follow one another in order, and partitions it lies in."""
+    from pyspark.sql.window import Window
+
+    rows = sorts.partition_sort(table(spark, sf_dir, "lineitem").select("l_suppkey"), ["l_suppkey"]).withColumn("part", F.spark_partition_id())
+    placed = sorts.with_positions(rows, "at")
+    bounds = placed.groupBy("part", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    # A key's rows are one run, and runs follow one another by key.
+    before = F.lag("high").over(Window.partitionBy("part").orderBy("l_suppkey"))
+    runs = bounds.withColumn("off", F.col("high") - F.col("low") + 1 - F.col("n") + F.when(before + 1 != F.col("low"), 1).otherwise(0))
+    return runs.groupBy("l_suppkey").agg(F.sum("n").alias("n"), F.sum("off").alias("n_misplaced"), F.count_distinct("part").cast("int").alias("n_partitions"))
+
+
+@query("""select l_suppkey, l_partkey, separator, cast(row_number() over (partition by l_suppkey order by separator desc, l_partkey) as integer) as place from (
+  select l_suppkey, l_partkey, false as separator from lineitem union all select distinct l_suppkey, null, true from lineitem)""")
+def secondary_sort_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in order with a separator row before each, and where each row lies in its group."""
+    from pyspark.sql.window import Window
+
+    rows = sorts.secondary_sort_separated(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
+    placed = sorts.with_positions(rows, "at")
+    first = placed.groupBy("l_suppkey").agg(F.min("at").alias("low"))
+    return placed.join(first, "l_suppkey").select("l_suppkey", "l_partkey", "separator", (F.col("at") - F.col("low") + 1).cast("int").alias("place"))
+
+
+@query(f"""with w as (select doc_id, word from ({TOKENS_SQL.format(keys='doc_id, ')}) where word <> ''),
+s as (select distinct word, 1 as n, 0 as src from w union all select distinct word, 1, 1 from w where doc_id % 2 = 0 union all select distinct word, -2, 2 from w where doc_id % 3 = 0)
+select 'Union' as label, count(*) as n_keys, count(*) filter (where net <> 0) as n_wrong from (select word, sum(n) as net from s group by 1)""")
+def union_check_of_different_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of a union whose constituents differ, so that words don't net to 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = [text.tokenize(d, "text") for d in (docs, docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"))]
+    return sets.union_check(*parts, "word")
+
+
+@query("select cast(ascii(word) % 2 as integer) as pid, count(*) as n from (" + TOKENS_SQL.format(keys="") + ") where word <> '' group by 1")
+def char_partition_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words routed by their first character: counts by the partition they arrive in."""
+    words = text.tokenize(table(spark, sf_dir, "documents"), "text")
+    return exchange.route(words, exchange.char_id(F.col("word")), 2).groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select c_name as line, cast(sum(octet_length(encode(c_name)) + 1) over (order by c_custkey rows between unbounded preceding and current row) - octet_length(encode(c_name)) - 1 as bigint) as "offset" from customer""")
+def lines_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written as one text file, read back as lines with the byte each starts at, in ranges."""
+    from loomflow.sources.text import read_lines_with_offsets
+
+    path = shared_path(spark, "lines")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(1).sortWithinPartitions("c_custkey").select("c_name").write.text(path)
+    return read_lines_with_offsets(spark, path).select("line", "offset")
 
 
 def queries() -> dict:

@@ -41,6 +41,12 @@ def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("n_orders"))
 
 
+def approximate_distinct_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact number of orders, and whether the approximate one is within three standard errors of 2 percent."""
+    found = table(spark, sf_dir, "lineitem").agg(F.count_distinct("l_orderkey").alias("n_orders"), F.approx_count_distinct("l_orderkey", 0.02).alias("n"))
+    return found.select("n_orders", (F.abs(F.col("n") - F.col("n_orders")) <= 0.06 * F.col("n_orders")).alias("within_bound"))
+
+
 def table_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by a user-defined table function joined laterally."""
     docs = table(spark, sf_dir, "documents").select("text")
@@ -56,12 +62,13 @@ SQL = {
     select user_id, event_id, epoch_us(ts) as t, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) < 21600000000 then 0 else 1 end as new from events)) group by user_id, k""",
     "cube_counts": "select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping(o_orderstatus, o_orderpriority) as integer) as level from orders group by cube (o_orderstatus, o_orderpriority)",
     "rollup_counts": "select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping(o_orderstatus, o_orderpriority) as integer) as level from orders group by rollup (o_orderstatus, o_orderpriority)",
+    "approximate_distinct_within_bound": "select count(distinct l_orderkey) as n_orders, true as within_bound from lineitem",
     "table_function_words": "select word, count(*) as cnt from (select unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) as word from documents) where word <> '' group by 1",
 }
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (tumbling_window, sliding_window, session_window, cube_counts, rollup_counts, approximate_distinct, table_function_words)}
+    return {f.__name__: f for f in (tumbling_window, sliding_window, session_window, cube_counts, rollup_counts, approximate_distinct, approximate_distinct_within_bound, table_function_words)}
 
 
 def oracle_sql() -> dict[str, str]:

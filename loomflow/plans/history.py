@@ -249,6 +249,74 @@ def allocation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzers.allocation_notes(analyzers.critical_path(facts, model.chain_edges(_vertices(spark, sf_dir))), facts)
 
 
+_S = _F + f", s as ({model.SOURCE_COUNTERS_SQL}) "
+_SOURCE_COLUMNS = "dag_id, vertex_name, task_attempt_id, node_id, time_taken, counter_group, " + ", ".join(n.lower() for n in model.SOURCE_COUNTERS)
+
+
+@query(_S + f"""select {_SOURCE_COLUMNS}, round(reduce_input_groups / reduce_input_records, 6) as groups_share, time_taken - merge_phase_time as work_ms,
+last_event_received - first_event_received as events_ms, (time_taken - merge_phase_time) / nullif(time_taken, 0) < 0.5 as slow from s where reduce_input_records > 10000 and reduce_input_groups > 0""")
+def shuffle_time_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = materialize(_facts(spark, sf_dir), "facts")
+    return analyzers.shuffle_time_by_source(facts, model.source_counters(facts))
+
+
+@query(_S + """, t as (select *, reduce_input_groups / nullif(reduce_input_records, 0) as g, reduce_input_records / nullif(sum(reduce_input_records) over w, 0) as p, count(*) over w as n from s window w as (partition by dag_id, vertex_name, counter_group)),
+x as (select *, case when shuffle_bytes > 943718400 and g < 0.2 then 'partitioning' end as finding from t
+  union all select *, case when n > 1 and p > 0.6 then 'skew above 0.6' when n > 1 and p > 0.4 then 'skew above 0.4' end from t
+  union all select *, case when shuffle_bytes > 943718400 and g > 0.2 and g < 0.4 then 'parallelism' end from t)
+select dag_id, vertex_name, counter_group, task_attempt_id, shuffle_bytes, round(g, 6) as groups_share, round(p, 6) as records_share, finding from x where finding is not null""")
+def skew_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = materialize(_facts(spark, sf_dir), "facts")
+    return analyzers.skew_by_source(facts, model.source_counters(facts))
+
+
+@query(_F + f", w as ({model.NODE_COUNTERS_SQL}) select split_part(node_id, ':', 1) as host, count(*) as n_attempts, {_N}, " + ", ".join(f"coalesce(round(avg({n.lower()}), 2), 0.0) as mean_{n.lower()}" for n in model.NODE_COUNTERS) + " from w where node_id is not null group by 1")
+def slow_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = materialize(_facts(spark, sf_dir), "facts")
+    return analyzers.slow_hosts(facts, model.node_counters(facts))
+
+
+@query(_F + f""", v as (select vertex_id, max(finish_time) as finish_time, max(num_tasks) as num_tasks, max(failed_tasks) as failed_tasks, max(completed_tasks) as completed_tasks from vertices where vertex_id is not null group by 1),
+x as (select *, {_LINE.format("coalesce(diagnostics, '')")} as text from f),
+k as (select task_id, arg_max({{d: dag_id, v: vertex_id, s: status, e: end_time, t: text}}, (cast(nullif(regexp_extract(task_attempt_id, '_(\\d+)$', 1), '') as bigint), task_attempt_id)) as l from x where task_id is not null group by 1),
+b as (select * from k where l.s = 'FAILED' and l.d is not null),
+r as (select dag_id, vertex_id as v, vertex_id as entity, 'VERTEX_FINISHED' as event, cast(null as bigint) as e, arg_min(task_attempt_id || ': ' || text, task_attempt_id) as diagnostics from x where status = 'FAILED' and vertex_id is not null and dag_id is not null group by 1, 2
+  union all select l.d, l.v, task_id, 'TASK_FINISHED', l.e, l.t from b
+  union all select dag_id, vertex_id, task_attempt_id, 'TASK_ATTEMPT_FINISHED', end_time, text from x where status = 'FAILED' and dag_id is not null and task_id in (select task_id from b))
+select dag_id, entity, event, case when event = 'VERTEX_FINISHED' then finish_time else e end as at_ms, num_tasks, failed_tasks, completed_tasks, diagnostics from r join v on v.vertex_id = r.v""")
+def dag_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = materialize(_facts(spark, sf_dir), "facts")
+    return analyzers.dag_failures(_vertices(spark, sf_dir), facts)
+
+
+_PLACES = "select dag_id, {f}, task_attempt_id, cast(row_number() over (partition by dag_id, {f} order by coalesce(start_time, 0), task_attempt_id) as integer) as place from f where {f} is not null"
+
+
+@query(_F + _PLACES.format(f="node_id"))
+def attempts_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzers.attempts_of(materialize(_facts(spark, sf_dir), "facts"), "node_id")
+
+
+@query(_F + _PLACES.format(f="container_id"))
+def attempts_of_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzers.attempts_of(materialize(_facts(spark, sf_dir), "facts"), "container_id")
+
+
+_DATA = "done as (select vertex_id, max({a: end_time, b: task_attempt_id}) as m from f where end_time > 0 and status = 'SUCCEEDED' group by 1), data as (select destination_vertex as vertex_id, max(m).b as data_ta, max(m).a as data_ms from e join done on done.vertex_id = source_vertex group by 1)"
+
+
+@query(_F + f""", {_V}, {_D}, {_E}, {_DATA},
+won as (select vertex_id, task_id, arg_max({{s: start_time, e: end_time}}, (end_time, task_attempt_id)) as a from f where status = 'SUCCEEDED' and task_id is not null group by 1, 2),
+post as (select vertex_id, case when a.s > 0 and a.e > 0 then a.e - greatest(a.s, coalesce(data_ms, a.s)) else -1 end as p from won left join data using (vertex_id)),
+mean as (select vertex_id, cast(floor(avg(p) + 0.5) as bigint) as post_data_ms from post where p >= 0 group by 1),
+last as (select vertex_id, max(end_time) as last_end from f where end_time > 0 group by 1)
+select v.dag_id, v.vertex_id, v.vertex_name, data_ta, data_ms, coalesce(post_data_ms, -1) as post_data_ms, case when v.finish_time >= d.start_time then v.finish_time - d.start_time else last_end - d.start_time end as finish_interval
+from v left join d on d.dag_id = v.dag_id left join data on data.vertex_id = v.vertex_id left join mean on mean.vertex_id = v.vertex_id left join last on last.vertex_id = v.vertex_id""")
+def post_data_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, vertices = materialize(_facts(spark, sf_dir), "facts"), _vertices(spark, sf_dir)
+    return analyzers.post_data_metrics(facts, vertices, model.dag_facts(table(spark, sf_dir, "dags")), model.chain_edges(vertices))
+
+
 def _rounding(sql: str) -> str:
     """Writes ``round(x, d)`` as ``scalars.rounded`` has it."""
     out, at = "", 0

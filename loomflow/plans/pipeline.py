@@ -21,6 +21,13 @@ def p2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_table(p2_stats(spark, sf_dir).withColumnRenamed("dag", "entity")).withColumnRenamed("entity", "dag")
 
 
+def p2_feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table spread out again: a row per dag and type of the complete list, also of types that a dag lacks."""
+    wide = p2_features(spark, sf_dir)
+    cells = wide.select("dag", "n_events", "latest_ms", F.explode(F.arrays_zip("types", "counts", "last_ms", "sizes")).alias("c"))
+    return cells.select("dag", "n_events", "latest_ms", F.col("c.types").alias("eventtype"), F.col("c.counts").alias("n_of_type"), F.col("c.last_ms").alias("last_ms"), F.col("c.sizes").alias("total_size"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = p2_features(spark, sf_dir)
     cells = wide.select("dag", "latest_ms", F.explode(F.arrays_zip("types", "counts", "last_ms")).alias("c"))
@@ -40,6 +47,11 @@ s as (select dag, eventtype, count(*) as n_events, max(ms) as last_ms, cast(coal
 
 P2_STATS_SQL = P2_EVENTS_SQL + "select * from s"
 
+P2_FEATURE_CELLS_SQL = P2_EVENTS_SQL + """, d2 as (select dag, cast(sum(n_events) as bigint) as n_events, max(last_ms) as latest_ms from s group by 1)
+select d2.dag, d2.n_events, d2.latest_ms, t.eventtype, coalesce(s.n_events, 0) as n_of_type, s.last_ms, coalesce(s.total_size, 0) as total_size
+from d2 cross join (select distinct eventtype from s) t left join s on s.dag = d2.dag and s.eventtype = t.eventtype
+"""
+
 P2_FOUND_SQL = P2_EVENTS_SQL + """
 select dag, eventtype from (select *, max(last_ms) over (partition by dag) as latest from s) where n_events >= 3 and latest - last_ms <= 60000
 """
@@ -117,8 +129,8 @@ select key_field, key_value from a where key_value is not null group by 1, 2 hav
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_stats": p2_stats, "p2_features": p2_features, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_results": p7_results}
+    return {"p2_found": p2_found, "p2_stats": p2_stats, "p2_features": p2_features, "p2_feature_cells": p2_feature_cells, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_results": p7_results}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p2_stats": P2_STATS_SQL, "p3_found": P3_FOUND_SQL, "p3_entries": P3_ENTRIES_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_results": P7_RESULTS_SQL}
+    return {"p2_found": P2_FOUND_SQL, "p2_stats": P2_STATS_SQL, "p2_feature_cells": P2_FEATURE_CELLS_SQL, "p3_found": P3_FOUND_SQL, "p3_entries": P3_ENTRIES_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_results": P7_RESULTS_SQL}

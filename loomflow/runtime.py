@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,9 +103,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def files_of(spark: SparkSession, path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path and the path in it; one without a scheme is on the session's default."""
+    return open_path(path, spark.conf.get("spark.hadoop.fs.defaultFS", None))
+
+
+def open_path(path: str, default: str | None = None) -> tuple[fs.FileSystem, str]:
+    """``files_of`` for tasks, which have no session."""
     if "://" not in path and not path.startswith("file:"):
-        path = (spark.conf.get("spark.hadoop.fs.defaultFS", None) or "").rstrip("/") + os.path.abspath(path)
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        path = (default or "").rstrip("/") + os.path.abspath(path)
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
+    return fs.FileSystem.from_uri(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

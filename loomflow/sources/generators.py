@@ -38,13 +38,19 @@ def random_bytes(spark: SparkSession, rows: int, seed: int = 0, key_bytes: int =
     return spark.range(rows).select(stream(key_bytes, "k").alias("key"), stream(value_bytes, "v").alias("value"))
 
 
+def draw(most: int, *parts: Column | int | str) -> Column:
+    """A number of 0 to ``most`` - 1 that depends on the parts only, by a digest, so other engines can draw it too."""
+    joined = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("long"), F.lit(most))
+
+
 def random_text(spark: SparkSession, rows: int, seed: int = 0, words: Sequence[str] = WORDS, key_words: tuple[int, int] = (5, 10), value_words: tuple[int, int] = (20, 100)) -> DataFrame:
     """(key, value): sentences of random words, lengths between the bounds."""
     listed = F.array(*[F.lit(w) for w in words])
 
     def sentence(bounds: tuple[int, int], salt: int) -> Column:
         least, most = bounds
-        n = least + F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(most - least + 1))
-        return F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.get(listed, F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt), i), F.lit(len(words))).cast("int"))), " ")
+        n = least + draw(most - least + 1, seed, salt, F.col("id"))
+        return F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.get(listed, draw(len(words), seed, salt, F.col("id"), i).cast("int"))), " ")
 
     return spark.range(rows).select(sentence(key_words, 1).alias("key"), sentence(value_words, 2).alias("value"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomflow.runtime import ship
+from loomflow.runtime import open_path, ship
+
+#: Bytes of a file that are read at once.
+RANGE_BYTES = 32 << 20
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -20,25 +24,42 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def read_lines_with_offsets(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file, offset, line): ``offset`` is the byte at which a line starts in its file.
 
-    Files are read whole, one a row, so they should be of some 100 MB at most; larger
-    ones are better split into files first. Lines end at LF or CRLF; bytes that aren't
-    UTF-8 are replaced. Empty files give no rows.
+    Files of any size are read in ranges of RANGE_BYTES by as many tasks; a line is of the range that it
+    starts in. Lines end at LF or CRLF; bytes that aren't UTF-8 are replaced. Empty files
+    give no rows.
     """
     ship(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").load(paths).where("length > 0").select("path", "length")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE_BYTES).cast("long"))).alias("begin"))
+    width = RANGE_BYTES
+    default = spark.conf.get("spark.hadoop.fs.defaultFS", None)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                starts, lines, at = [], [], 0
-                for raw in (content or b"").splitlines(keepends=True) if b"\r" not in (content or b"") else _lf_lines(content):
-                    starts.append(at)
-                    lines.append(raw.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace"))
-                    at += len(raw)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(starts, pa.int64()), pa.array(lines, pa.string())], names=["file", "offset", "line"])
-
-    return files.mapInArrow(split, "file string, offset long, line string")
+            for path, begin in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                system, at = open_path(path, default)
+                starts, lines = [], []
+                with system.open_input_file(at) as source:
+                    # A line that starts before the range is of the range before: one byte back, its end is skipped.
+                    source.seek(max(begin - 1, 0))
+                    reader = io.BufferedReader(source, 1 << 20)
+                    here = begin if begin == 0 else begin - 1 + len(reader.readline())
+                    while here < begin + width and (raw := reader.readline()):
+                        starts.append(here)
+                        lines.append(raw.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace"))
+                        here += len(raw)
+                        if len(lines) >= 10_000:
+                            yield rows_of(path, starts, lines)
+                            starts, lines = [], []
+                if lines:
+                    yield rows_of(path, starts, lines)
+
+    def rows_of(path: str, starts: list[int], lines: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(starts, pa.int64()), pa.array(lines, pa.string())], names=["file", "offset", "line"])
+
+    spread = ranges.repartition("path", "begin")  # a task has few ranges, also of one large file
+    return spread.mapInArrow(read, "file string, offset long, line string")
 
 
 def read_sequence_files(spark: SparkSession, path: str) -> DataFrame:
@@ -48,11 +69,6 @@ def read_sequence_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pairs, "key string, value string")
 
 
-def _lf_lines(content: bytes) -> list[bytes]:
-    parts = content.split(b"\n")
-    return [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
-
-
 def split_container_log(lines: DataFrame, order: Sequence[str], header: str = r"^Container: (\S+) on (\S+)$", file_header: str = r"^LogType:(\S+)$") -> DataFrame:
     """Splits an aggregated container log: each line with the container, node and log type of the
     headers before it. ``lines`` has ``file``, ``line`` and the ``order`` columns, which
