@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.functions.scalars import detailed_status, one_line, or_zero, post_data_ms, ratio, rounded
 from loomflow.history.model import by_source, last_data, with_counters
 from loomflow.operators.running import previous, running_sum
 from loomflow.operators.skew import hot_join
-from loomflow.runtime import materialize
+from loomflow.runtime import materialize, ship
 
 MIB = 1 << 20
 _SHARES = (0.5, 0.75, 0.95, 0.98, 0.99)
@@ -303,69 +307,202 @@ def dag_extremes(vertices: DataFrame) -> DataFrame:
     )
 
 
-def vertex_critical_path(vertices: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def vertex_critical_path(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Per dag the path through its vertices of the greatest summed time: (dag_id, path, score).
 
-    Round n has, of every vertex, the best path of n steps to it; there are as many rounds
-    as the longest chain has vertices, however many paths there are.
-    Ties go to the path that is greater as text.
+    A dag's vertices and edges, which are its plan and so no more than its author wrote, meet in one
+    shuffle; the best path to each vertex follows from those of its sources. Ties go to the path that is
+    greater as text; vertices on a cycle, which no plan has, are an error.
     """
     taken = F.when((F.col("start_time") > 0) & (F.col("finish_time") >= F.col("start_time")), F.col("finish_time") - F.col("start_time")).otherwise(0)
-    nodes = materialize(vertices.where("dag_id is not null").select("dag_id", "vertex_id", taken.alias("taken")), "path-nodes")
-    links = materialize(edges.select("dag_id", F.col("source_vertex").alias("vertex_id"), F.col("destination_vertex").alias("to")), "path-links")
-    start = nodes.join(links.select("dag_id", F.col("to").alias("vertex_id")).distinct(), ["dag_id", "vertex_id"], "left_anti")
-    front = materialize(start.select("dag_id", "vertex_id", F.col("taken").alias("score"), F.col("vertex_id").alias("path")), "path-front")
-    reached = [front]
-    for _ in range(max_depth):
-        step = front.join(links, ["dag_id", "vertex_id"]).select("dag_id", F.col("to").alias("vertex_id"), "score", "path")
-        step = step.join(nodes, ["dag_id", "vertex_id"]).select("dag_id", "vertex_id", (F.col("score") + F.col("taken")).alias("score"), F.concat_ws(">", "path", "vertex_id").alias("path"))
-        best = step.groupBy("dag_id", "vertex_id").agg(F.max(F.struct("score", "path")).alias("b"))
-        front = materialize(best.select("dag_id", "vertex_id", "b.*"), "path-front")
+    nodes = vertices.where("dag_id is not null").select("dag_id", "vertex_id", taken.cast("long").alias("taken"), F.lit(None).cast("string").alias("to"))
+    links = edges.select("dag_id", F.col("source_vertex").alias("vertex_id"), F.lit(None).cast("long").alias("taken"), F.col("destination_vertex").alias("to"))
+
+    def best(rows: list[tuple]) -> list[tuple]:
+        time = {v: t for v, t, to in rows if to is None}
+        ahead: dict[str, set[str]] = {}
+        for v, _, to in rows:
+            if to is not None and v in time and to in time:
+                ahead.setdefault(v, set()).add(to)
+        waiting = Counter(to for follow in ahead.values() for to in follow)
+        ready = [v for v in time if not waiting[v]]
+        # Paths are compared with a closing mark, so that one stays ahead whatever follows.
+        paths = {v: (time[v], f"{v}>") for v in ready}
+        done = 0
+        while ready:
+            v = ready.pop()
+            done += 1
+            for to in ahead.get(v, ()):
+                paths[to] = max(paths.get(to, (-1, "")), (paths[v][0] + time[to], f"{paths[v][1]}{to}>"))
+                waiting[to] -= 1
+                if not waiting[to]:
+                    ready.append(to)
+        if done < len(time):
+            raise RuntimeError("a dag's edges have a cycle")
+        score, path = max((paths[v][0], paths[v][1][:-1]) for v in time if v not in ahead)
+        return [(path, score)]
+
+    return _per_dag(nodes.unionByName(links), ["vertex_id", "taken", "to"], lambda dag, rows: best(rows) if any(r[2] is None for r in rows) else [], "path string, score long")
+
+
+def _per_dag(rows: DataFrame, columns: list[str], function: Callable[[str, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``function`` of each dag's rows, as (dag_id, schema...). Dags stream by in sorted partitions; rows of a dag must be few."""
+    ship(rows.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dag, held, out = None, [], []
+        for batch in batches:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != dag and held:
+                    out += [(dag, *r) for r in function(dag, held)]
+                    held = []
+                dag = key
+                held.append(tuple(row))
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out = []
+        if held:
+            out += [(dag, *r) for r in function(dag, held)]
+        yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate([pa.string(), *kinds])], names=["dag_id", *names])
+
+    met = rows.where("dag_id is not null").select("dag_id", *columns).repartition("dag_id").sortWithinPartitions("dag_id")
+    return met.mapInArrow(run, f"dag_id string, {schema}")
+
+
+def _reachable(facts: DataFrame, front: DataFrame) -> DataFrame:
+    """(dag_id, at, and the attempt's columns) of a few attempts (dag_id, at) and the attempts that caused them, and so on.
+
+    Only these come near a critical path: last attempts of dags, of vertices, and the attempts that they retry.
+    """
+    seen: DataFrame | None = None
+    front = materialize(front.where("at is not null and dag_id is not null").distinct(), "critical-front")
+    while True:
+        # A table of known size: Spark broadcasts it while it is small.
+        found = facts.join(front, facts["task_attempt_id"] == front["at"]).select(front["dag_id"], "at", *[c for c in facts.columns if c not in ("dag_id", "task_attempt_id")])
+        found = materialize(found, "critical-nodes")
+        seen = found if seen is None else seen.unionByName(found)
+        causes = found.where("creation_causal_ta is not null").select("dag_id", F.col("creation_causal_ta").alias("at")).distinct()
+        front = materialize(causes.join(seen.select("dag_id", "at"), ["dag_id", "at"], "left_anti"), "critical-front")
         if front.isEmpty():
-            break
-        reached.append(front)
-    else:
-        raise RuntimeError(f"a path of more than {max_depth} vertices, or a cycle")
-    paths = reached[0]
-    for r in reached[1:]:
-        paths = paths.unionByName(r)
-    ends = paths.join(links.select("dag_id", "vertex_id").distinct(), ["dag_id", "vertex_id"], "left_anti")
-    return ends.groupBy("dag_id").agg(F.max(F.struct("score", "path")).alias("b")).select("dag_id", "b.path", "b.score")
-
-
-def critical_path(facts: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+            return seen
+
+
+def _walk_ends(facts: DataFrame) -> DataFrame:
+    """(dag_id, at): the last attempt of each dag to end as SUCCEEDED or FAILED."""
+    ended = facts.where("end_time > 0 and dag_id is not null and status in ('SUCCEEDED', 'FAILED')")
+    return ended.groupBy("dag_id").agg(F.max_by(F.col("task_attempt_id"), F.struct("end_time", "task_attempt_id")).alias("at"))
+
+
+def critical_path(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """Per dag the chain of attempts that its end waited for: (dag_id, step from 0, task_attempt_id, reason).
 
     It begins with the last attempt to end as SUCCEEDED or FAILED. An attempt waits for the one
     that caused it (`RETRY`), else for the last attempt to succeed of its source
-    vertices (`DATA`), else for nothing (`INIT`). All dags walk at once; a walk ends after ``max_depth`` steps.
+    vertices (`DATA`), else for nothing (`INIT`). A walk that comes back to an attempt ends with `LOOP`.
+    See ``critical_path_by_data`` for the choice by time.
     """
     facts = materialize(facts.select("task_attempt_id", "vertex_id", "dag_id", "status", "creation_causal_ta", "end_time"), "critical-facts")
-    ended = facts.where("end_time > 0 and dag_id is not null")
-    key = F.struct("end_time", "task_attempt_id")
-    last = ended.where("status in ('SUCCEEDED', 'FAILED')").groupBy("dag_id").agg(F.max_by(F.col("task_attempt_id"), key).alias("at"))
-    done = ended.where("status = 'SUCCEEDED'").groupBy("vertex_id").agg(F.max(key).alias("end"))
-    feeds = edges.select(F.col("source_vertex").alias("vertex_id"), "destination_vertex").join(done, "vertex_id").groupBy("destination_vertex").agg(F.max("end")["task_attempt_id"].alias("fed_by"))
-    fed = facts.select("task_attempt_id", "vertex_id", "creation_causal_ta").join(feeds.withColumnRenamed("destination_vertex", "vertex_id"), "vertex_id", "left")
-    reason = F.when(F.col("creation_causal_ta").isNotNull(), "RETRY").when(F.col("fed_by").isNotNull(), "DATA").otherwise("INIT")
-    waits = materialize(fed.select(F.col("task_attempt_id").alias("at"), F.coalesce("creation_causal_ta", "fed_by").alias("next"), reason.alias("reason")), "critical-waits")
-    front, walked, step = last, [], 0
-    while step < max_depth:
-        # several steps a round: fewer jobs, and each joins only one row per dag
-        round_ = front.withColumn("trail", F.array().cast("array<struct<step:int,task_attempt_id:string,reason:string>>"))
-        for k in range(step, step + 6):
-            round_ = round_.join(waits, "at", "left")
-            here = F.array(F.struct(F.lit(k).alias("step"), F.col("at").alias("task_attempt_id"), F.col("reason")))
-            round_ = round_.select("dag_id", F.col("next").alias("at"), F.when(F.col("reason").isNotNull(), F.concat("trail", here)).otherwise(F.col("trail")).alias("trail"))
-        round_ = materialize(round_, "critical-round")
-        walked.append(round_.select("dag_id", F.explode("trail").alias("t")).select("dag_id", "t.*"))
-        front, step = round_.where("at is not null").select("dag_id", "at"), step + 6
-        if front.isEmpty():
-            break
-    out = walked[0]
-    for w in walked[1:]:
-        out = out.unionByName(w)
-    return out
+    last = materialize(_walk_ends(facts), "critical-ends")
+    done = facts.where("end_time > 0 and dag_id is not null and status = 'SUCCEEDED'").groupBy("vertex_id").agg(F.max(F.struct("end_time", "task_attempt_id")).alias("end"))
+    feeds = edges.select("dag_id", F.col("source_vertex").alias("vertex_id"), "destination_vertex").join(done, "vertex_id")
+    feeds = materialize(feeds.groupBy("dag_id", F.col("destination_vertex").alias("vertex_id")).agg(F.max("end")["task_attempt_id"].alias("fed_by")), "critical-feeds")
+    nodes = _reachable(facts, last.unionByName(feeds.select("dag_id", F.col("fed_by").alias("at"))))
+    begun = last.select("dag_id", F.lit("end").alias("kind"), "at", F.lit(None).cast("string").alias("cause"), F.lit(None).cast("string").alias("fed_by"))
+    rows = begun.unionByName(nodes.join(feeds.drop("dag_id"), "vertex_id", "left").select("dag_id", F.lit("node").alias("kind"), "at", F.col("creation_causal_ta").alias("cause"), "fed_by"))
+
+    def walk(dag: str, rows: list[tuple]) -> list[tuple]:
+        given = {at: (cause, fed_by) for kind, at, cause, fed_by in rows if kind == "node"}
+        at, path, seen = next((r[1] for r in rows if r[0] == "end"), None), [], set()
+        while at in given:
+            if at in seen:
+                path.append((len(path), at, "LOOP"))
+                break
+            seen.add(at)
+            cause, fed_by = given[at]
+            path.append((len(path), at, "RETRY" if cause is not None else "DATA" if fed_by is not None else "INIT"))
+            at = cause if cause is not None else fed_by
+        return path
+
+    return _per_dag(rows, ["kind", "at", "cause", "fed_by"], walk, "step int, task_attempt_id string, reason string")
+
+
+def critical_path_by_data(facts: DataFrame, events: DataFrame, edges: DataFrame, dags: DataFrame) -> DataFrame:
+    """Per dag the critical path with its times: (dag_id, ``step`` from 0 at the dag's end, ``entity`` `DAG_COMMIT`, `ATTEMPT` or
+    `VERTEX_INIT`, task_attempt_id, ``reason``, ``start_ms``, ``stop_ms``).
+
+    ``events`` (vertex_id, source_ta, at_ms) are the data events that reach a vertex's attempts. Of the last one before a
+    step's stop: if it came after the attempt was created, the attempt waited for it (`DATA`); else
+    for the attempt that caused it, `OUTPUT_RECREATE` where that is of an output vertex of its own vertex, otherwise `RETRY`;
+    without a cause for the event's source (`DATA`); without an event for nothing (`INIT`). The step before
+    the first attempt is its vertex's initialisation, the one after the last is the `COMMIT`. A cause that
+    the tables lack ends the path.
+    """
+    facts = materialize(facts.select("task_attempt_id", "task_id", "vertex_id", "vertex_name", "dag_id", "status", "creation_causal_ta", "creation_time", "end_time"), "critical-facts")
+    last = materialize(_walk_ends(facts), "critical-ends")
+    of_dag = edges.select("dag_id", "source_vertex", "destination_vertex")
+    fed = events.join(of_dag.select("dag_id", F.col("destination_vertex").alias("vertex_id")).distinct(), "vertex_id")
+    nodes = _reachable(facts, last.unionByName(fed.select("dag_id", F.col("source_ta").alias("at"))))
+    columns = ["kind", "a", "b", "c", "x", "y"]
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+
+    def part(df: DataFrame, kind: str, *cells: Column) -> DataFrame:
+        return df.select("dag_id", F.lit(kind).alias("kind"), *[c.alias(n) for c, n in zip(cells, columns[1:])])
+
+    rows = part(last, "end", F.col("at"), text, text, number, number)
+    rows = rows.unionByName(part(dags, "dag", text, text, text, F.col("start_time"), F.col("end_time")))
+    rows = rows.unionByName(part(of_dag, "out", F.col("source_vertex"), F.col("destination_vertex"), text, number, number))
+    rows = rows.unionByName(part(fed, "event", F.col("vertex_id"), F.col("source_ta"), text, F.col("at_ms"), number))
+    rows = rows.unionByName(part(nodes, "node", F.col("at"), F.col("vertex_id"), F.col("creation_causal_ta"), F.col("creation_time"), F.col("end_time")))
+
+    def walk(dag: str, rows: list[tuple]) -> list[tuple]:
+        given = {a: (b, c, x or 0, y or 0) for kind, a, b, c, x, y in rows if kind == "node"}
+        outputs = {(a, b) for kind, a, b, *_ in rows if kind == "out"}
+        arrivals: dict[str, list[tuple[int, str]]] = {}
+        for kind, a, b, _, x, _ in rows:
+            if kind == "event":
+                arrivals.setdefault(a, []).append((x, b))
+        begin, finish = next(((x, y) for kind, _, _, _, x, y in rows if kind == "dag"), (None, None))
+        at = next((r[1] for r in rows if r[0] == "end"), None)
+        if at not in given:
+            return []
+        stop = given[at][3]
+        path, seen = [(0, "DAG_COMMIT", at, "COMMIT", stop, finish if (finish or 0) > 0 else stop)], set()
+        while at in given:
+            vertex, cause, created, _ = given[at]
+            when, source = max((e for e in arrivals.get(vertex, ()) if e[0] < stop), default=(0, None))
+            if (at, stop) in seen:
+                path.append((len(path), "ATTEMPT", at, "LOOP", stop, stop))
+                break
+            seen.add((at, stop))
+            if source is not None and (when > created or cause is None):
+                reason, follow, start = "DATA", source, when
+            elif cause is not None:
+                again = cause in given and (vertex, given[cause][0]) in outputs
+                reason, follow = ("OUTPUT_RECREATE" if again else "RETRY"), cause
+                start = created if again or cause not in given else given[cause][3]
+            else:
+                reason, follow, start = "INIT", None, created
+            path.append((len(path), "ATTEMPT", at, reason, start, stop))
+            if follow is None:
+                path.append((len(path), "VERTEX_INIT", at, "INIT", begin, start))
+            at, stop = follow, start
+        return path
+
+    return _per_dag(rows, columns, walk, "step int, entity string, task_attempt_id string, reason string, start_ms long, stop_ms long")
+
+
+def data_stragglers(path: DataFrame, facts: DataFrame, metrics: DataFrame, slower: float = 1.25) -> DataFrame:
+    """Attempts of ``critical_path_by_data`` with their time after the last data event, the mean of their vertex's
+    (``metrics`` of ``post_data_metrics``), and ``straggler``: more than ``slower`` times it. Vertices without a mean have none."""
+    rows = path.where("entity = 'ATTEMPT'").select("dag_id", "step", "task_attempt_id").join(facts.select("task_attempt_id", "vertex_id", "start_time", "end_time"), "task_attempt_id")
+    rows = rows.join(metrics.select("vertex_id", "data_ms", F.col("post_data_ms").alias("mean_ms")), "vertex_id").where("mean_ms > 0")
+    rows = rows.withColumn("own_ms", post_data_ms(F.col("start_time"), F.col("end_time"), F.col("data_ms")))
+    return rows.select("dag_id", "step", "task_attempt_id", "own_ms", "mean_ms", (F.col("own_ms") > slower * F.col("mean_ms")).alias("straggler"))
 
 
 def critical_path_notes(path: DataFrame, facts: DataFrame, slower: float = 1.25) -> DataFrame:

@@ -128,6 +128,14 @@ def last_data(facts: DataFrame, edges: DataFrame) -> DataFrame:
     return fed.select(F.col("destination_vertex").alias("vertex_id"), F.col("end.task_attempt_id").alias("data_ta"), F.col("end.end_time").alias("data_ms"))
 
 
+def data_events(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vertex_id, source_ta, at_ms): per edge the last attempt of its source vertex to succeed, as the data event that
+    its destination waits for. The tables have no data events."""
+    done = facts.where("status = 'SUCCEEDED' and end_time > 0").groupBy("vertex_id").agg(F.max(F.struct("end_time", "task_attempt_id")).alias("end"))
+    fed = edges.select(F.col("source_vertex").alias("vertex_id"), "destination_vertex").join(done, "vertex_id")
+    return fed.select(F.col("destination_vertex").alias("vertex_id"), F.col("end.task_attempt_id").alias("source_ta"), F.col("end.end_time").alias("at_ms")).distinct()
+
+
 def with_counters(facts: DataFrame, counters: DataFrame, names: list[str]) -> DataFrame:
     """Attempts with a column per named counter (null where absent)."""
     wide = counters.where(F.col("counter_name").isin(names)).groupBy("entity_id").agg(*[F.max(F.when(F.col("counter_name") == n, F.col("value"))).alias(n.lower()) for n in names])

@@ -317,6 +317,54 @@ def post_data_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzers.post_data_metrics(facts, vertices, model.dag_facts(table(spark, sf_dir, "dags")), model.chain_edges(vertices))
 
 
+_BY_DATA = f"""with recursive f as ({model.ATTEMPT_FACTS_SQL}), {_V}, {_D},
+o as (select dag_id, vertex_id as s, lead(vertex_id) over w as t from v where dag_id is not null window w as (partition by dag_id order by vertex_id)
+  union all select dag_id, vertex_id, lead(vertex_id, 3) over w from v where dag_id is not null window w as (partition by dag_id order by vertex_id)),
+done as (select vertex_id, max({{a: end_time, b: task_attempt_id}}) as m from f where end_time > 0 and status = 'SUCCEEDED' group by 1),
+ev as (select vertex_id, source_ta, at_ms, lead(at_ms) over (partition by vertex_id order by at_ms, source_ta) as until from (select distinct o.t as vertex_id, m.b as source_ta, m.a as at_ms from o join done on done.vertex_id = o.s where o.t is not null)),
+e0 as (select dag_id, arg_max(task_attempt_id, (end_time, task_attempt_id)) as id, max(end_time) as stop from f where end_time > 0 and dag_id is not null and status in ('SUCCEEDED', 'FAILED') group by 1),
+n as (select f.task_attempt_id as id, f.vertex_id, f.creation_causal_ta as cause, coalesce(f.creation_time, 0) as created, c.task_attempt_id as cause_id, coalesce(c.end_time, 0) as cause_end, exists (select 1 from o where o.s = f.vertex_id and o.t = c.vertex_id) as again
+  from f left join f c on c.task_attempt_id = f.creation_causal_ta),
+k as (select n.*, source_ta, at_ms, until from n left join ev on ev.vertex_id = n.vertex_id union all select n.*, null, null, (select min(at_ms) from ev where ev.vertex_id = n.vertex_id) from n where exists (select 1 from ev where ev.vertex_id = n.vertex_id)),
+p as (select dag_id, 1 as step, id, stop from e0
+  union all select p.dag_id, step + 1, case when source_ta is not null and (at_ms > created or cause is null) then source_ta else cause end,
+    case when source_ta is not null and (at_ms > created or cause is null) then at_ms when again or cause_id is null then created else cause_end end
+  from p join k on k.id = p.id and (at_ms is null or at_ms < stop) and (until is null or until >= stop)
+  where case when source_ta is not null and (at_ms > created or cause is null) then source_ta else cause end is not null),
+q as (select p.*, k.vertex_id, source_ta, at_ms, cause, created, again, cause_id, cause_end, source_ta is not null and (at_ms > created or cause is null) as by_data from p join k on k.id = p.id and (at_ms is null or at_ms < stop) and (until is null or until >= stop)),
+r as (select dag_id, step, 'ATTEMPT' as entity, id as task_attempt_id, case when by_data then 'DATA' when cause is not null then case when again then 'OUTPUT_RECREATE' else 'RETRY' end else 'INIT' end as reason,
+    case when by_data then at_ms when cause is not null and not again and cause_id is not null then cause_end else created end as start_ms, stop as stop_ms from q),
+x as (select * from r
+  union all select e0.dag_id, 0, 'DAG_COMMIT', id, 'COMMIT', stop, case when d.end_time > 0 then d.end_time else stop end from e0 left join d using (dag_id)
+  union all select r.dag_id, step + 1, 'VERTEX_INIT', task_attempt_id, 'INIT', d.start_time, start_ms from r left join d using (dag_id) where reason = 'INIT')"""
+
+
+def _by_data(spark: SparkSession, sf_dir: str, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    vertices = _vertices(spark, sf_dir)
+    edges = materialize(model.chain_edges(vertices).unionByName(model.chain_edges(vertices, 3)), "edges")
+    dags = model.dag_facts(table(spark, sf_dir, "dags"))
+    return analyzers.critical_path_by_data(facts, model.data_events(facts, edges), edges, dags), vertices, edges, dags
+
+
+@query(_BY_DATA + " select * from x")
+def critical_path_by_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over edges to the next vertex and to the third one after it."""
+    return _by_data(spark, sf_dir, materialize(_facts(spark, sf_dir), "facts"))[0]
+
+
+@query(_BY_DATA + f""", data as (select vertex_id, max(at_ms) as data_ms from ev group by 1),
+won as (select vertex_id, task_id, arg_max({{s: start_time, e: end_time}}, (end_time, task_attempt_id)) as a from f where status = 'SUCCEEDED' and task_id is not null group by 1, 2),
+post as (select vertex_id, case when a.s > 0 and a.e > 0 then a.e - greatest(a.s, coalesce(data_ms, a.s)) else -1 end as p from won left join data using (vertex_id)),
+mean as (select vertex_id, cast(floor(avg(p) + 0.5) as bigint) as mean_ms from post where p >= 0 group by 1),
+y as (select r.dag_id, step, r.task_attempt_id, mean_ms, case when f.start_time > 0 and f.end_time > 0 then f.end_time - greatest(f.start_time, coalesce(data_ms, f.start_time)) else -1 end as own_ms
+  from r join f using (task_attempt_id) join v on v.vertex_id = f.vertex_id join mean on mean.vertex_id = f.vertex_id left join data on data.vertex_id = f.vertex_id where mean_ms > 0)
+select dag_id, step, task_attempt_id, own_ms, mean_ms, own_ms > 1.25 * mean_ms as straggler from y""")
+def data_stragglers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = materialize(_facts(spark, sf_dir), "facts")
+    path, vertices, edges, dags = _by_data(spark, sf_dir, facts)
+    return analyzers.data_stragglers(path, facts, analyzers.post_data_metrics(facts, vertices, dags, edges))
+
+
 def _rounding(sql: str) -> str:
     """Writes ``round(x, d)`` as ``scalars.rounded`` has it."""
     out, at = "", 0

@@ -127,3 +127,51 @@ def test_empty_history(spark, facts, edges):
     c = counters(spark, [])
     for rows in (analyzers.locality(none, c), analyzers.shuffle_time(none, c), analyzers.skew(none, c), analyzers.slowest_vertex(none, c), analyzers.slow_nodes(none, c), analyzers.task_concurrency(none), analyzers.hung_tasks(none), analyzers.critical_path(none, no_edges), analyzers.waves(none), analyzers.swimlanes(none)):
         assert rows.count() == 0
+
+
+def history(spark):
+    """A dag of three vertices; b1 is created again because of a lost output that c0 reported, c0 failed once."""
+    facts = [
+        # task_attempt_id, task_id, vertex_id, vertex_name, status, cause, creation, start, end
+        ("a0", "ta", "A", "a", "SUCCEEDED", None, 10, 12, 100), ("b0", "tb", "B", "b", "SUCCEEDED", None, 20, 25, 200), ("b1", "tb", "B", "b", "SUCCEEDED", "c0", 300, 310, 400),
+        ("c0", "tc", "C", "c", "FAILED", None, 250, 255, 290), ("c1", "tc", "C", "c", "SUCCEEDED", "c0", 295, 300, 500),
+    ]
+    names = "task_attempt_id string, task_id string, vertex_id string, vertex_name string, status string, creation_causal_ta string, creation_time long, start_time long, end_time long"
+    facts = spark.createDataFrame(facts, names).withColumn("dag_id", F.lit("d"))
+    edges = spark.createDataFrame([("d", "A", "B"), ("d", "B", "C")], "dag_id string, source_vertex string, destination_vertex string")
+    events = spark.createDataFrame([("B", "a0", 100), ("C", "b0", 200), ("C", "b1", 400)], "vertex_id string, source_ta string, at_ms long")
+    return facts, edges, events, spark.createDataFrame([("d", 5, 520)], "dag_id string, start_time long, end_time long")
+
+
+def test_critical_path_by_data_has_all_reasons(spark):
+    facts, edges, events, dags = history(spark)
+    got = sorted(tuple(r)[1:] for r in analyzers.critical_path_by_data(facts, events, edges, dags).collect())
+    assert got == [
+        (0, "DAG_COMMIT", "c1", "COMMIT", 500, 520), (1, "ATTEMPT", "c1", "DATA", 400, 500), (2, "ATTEMPT", "b1", "OUTPUT_RECREATE", 300, 400), (3, "ATTEMPT", "c0", "DATA", 200, 300),
+        (4, "ATTEMPT", "b0", "DATA", 100, 200), (5, "ATTEMPT", "a0", "INIT", 10, 100), (6, "VERTEX_INIT", "a0", "INIT", 5, 10),
+    ]
+    # without data after its creation, an attempt waited for the one it retries
+    got = sorted(tuple(r)[1:] for r in analyzers.critical_path_by_data(facts, events.where("at_ms < 300"), edges, dags).collect())
+    assert got[1:3] == [(1, "ATTEMPT", "c1", "RETRY", 290, 500), (2, "ATTEMPT", "c0", "DATA", 200, 290)]
+
+
+def test_critical_walks_that_return(spark):
+    facts, edges, events, dags = history(spark)
+    loop = facts.withColumn("creation_causal_ta", F.when(F.col("task_attempt_id") == "c1", "c0").when(F.col("task_attempt_id") == "c0", "c1"))
+    got = sorted(tuple(r)[1:] for r in analyzers.critical_path(loop, edges).collect())
+    assert got == [(0, "c1", "RETRY"), (1, "c0", "RETRY"), (2, "c1", "LOOP")]
+    assert analyzers.critical_path(facts.limit(0), edges).count() == 0 and analyzers.critical_path_by_data(facts.limit(0), events, edges, dags).count() == 0
+
+
+def test_long_chains_are_walked_to_their_end(spark):
+    n = 1500
+    rows = [(f"a{i:05}", "t", "V", "v", "FAILED" if i < n - 1 else "SUCCEEDED", f"a{i - 1:05}" if i else None, i, i, i + 1, "d") for i in range(40)]
+    facts = spark.createDataFrame(rows, "task_attempt_id string, task_id string, vertex_id string, vertex_name string, status string, creation_causal_ta string, creation_time long, start_time long, end_time long, dag_id string")
+    none = spark.createDataFrame([], "dag_id string, source_vertex string, destination_vertex string")
+    assert analyzers.critical_path(facts.where("task_attempt_id >= 'a00036'"), none).count() == 4
+    chain = spark.range(n).select(F.lit("d").alias("dag_id"), F.format_string("v%05d", "id").alias("vertex_id"), F.lit(1).cast("long").alias("start_time"), F.lit(3).cast("long").alias("finish_time"))
+    links = spark.range(n - 1).select(F.lit("d").alias("dag_id"), F.format_string("v%05d", "id").alias("source_vertex"), F.format_string("v%05d", F.col("id") + 1).alias("destination_vertex"))
+    row = analyzers.vertex_critical_path(chain, links).first()
+    assert row["score"] == 2 * n and row["path"].count(">") == n - 1
+    with pytest.raises(Exception, match="cycle"):
+        analyzers.vertex_critical_path(chain, links.unionByName(links.limit(1).select("dag_id", F.lit("v01499").alias("source_vertex"), F.lit("v00000").alias("destination_vertex")))).collect()
