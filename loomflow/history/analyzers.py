@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -379,17 +380,20 @@ def _reachable(facts: DataFrame, front: DataFrame) -> DataFrame:
 
     Only these come near a critical path: last attempts of dags, of vertices, and the attempts that they retry.
     """
-    seen: DataFrame | None = None
-    front = materialize(front.where("at is not null and dag_id is not null").distinct(), "critical-front")
+    rest = [c for c in facts.columns if c not in ("dag_id", "task_attempt_id")]
+    causes = front.where("at is not null and dag_id is not null").distinct()
+    causes = materialize(causes, "critical-front")
+    rounds: list[DataFrame] = []
     while True:
-        # A table of known size: Spark broadcasts it while it is small.
-        found = facts.join(front, facts["task_attempt_id"] == front["at"]).select(front["dag_id"], "at", *[c for c in facts.columns if c not in ("dag_id", "task_attempt_id")])
-        found = materialize(found, "critical-nodes")
-        seen = found if seen is None else seen.unionByName(found)
+        # The small side is read from a table of known size, so Spark broadcasts it while it is small.
+        found = materialize(facts.join(causes, facts["task_attempt_id"] == causes["at"]).select(causes["dag_id"], "at", *rest), "critical-nodes")
+        rounds.append(found)
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, rounds).distinct()
         causes = found.where("creation_causal_ta is not null").select("dag_id", F.col("creation_causal_ta").alias("at")).distinct()
-        front = materialize(causes.join(seen.select("dag_id", "at"), ["dag_id", "at"], "left_anti"), "critical-front")
-        if front.isEmpty():
-            return seen
+        if len(rounds) % 16 == 0:  # longer chains than retries give: they may be cycles
+            seen = reduce(DataFrame.unionByName, rounds).select("dag_id", "at")
+            causes = materialize(causes.join(seen, ["dag_id", "at"], "left_anti"), "critical-front")
 
 
 def _walk_ends(facts: DataFrame) -> DataFrame:
