@@ -194,7 +194,7 @@ def task_concurrency(facts: DataFrame) -> DataFrame:
     """
     rows = facts.where("start_time > 0 and end_time >= start_time and vertex_id is not null")
     steps = rows.select("dag_id", "vertex_id", F.explode(F.array(F.struct(F.col("start_time").alias("at_ms"), F.lit("START").alias("kind"), F.lit(0).alias("o"), F.lit(1).alias("d")), F.struct(F.col("end_time").alias("at_ms"), F.lit("FINISH").alias("kind"), F.lit(1).alias("o"), F.lit(-1).alias("d")))).alias("e")).select("dag_id", "vertex_id", "e.*")
-    summed = steps.groupBy("dag_id", "vertex_id", "at_ms", "kind", "o").agg(F.sum("d").alias("d"))
+    summed = materialize(steps.groupBy("dag_id", "vertex_id", "at_ms", "kind", "o").agg(F.sum("d").alias("d")), "concurrency-steps")  # read for the largest vertex too
     return running_sum(summed, ["dag_id", "vertex_id"], ["at_ms", "o"], F.col("d"), "running").select("dag_id", "vertex_id", "at_ms", "kind", "running")
 
 
@@ -283,6 +283,7 @@ def swimlanes(facts: DataFrame) -> DataFrame:
     """Lanes of a drawing: per container its attempts in order of start, with the idle time before."""
     rows = facts.where("container_id is not null and start_time > 0 and end_time >= start_time").select("container_id", "task_attempt_id", "start_time", "end_time")
     keys, order = ["container_id"], ["start_time", "task_attempt_id"]
+    rows = materialize(rows, "lanes")  # read for the largest container too
     rows = previous(running_sum(rows, keys, order, F.lit(1), "place"), keys, order, "end_time", "before")
     return rows.select("container_id", "task_attempt_id", "start_time", "end_time", F.col("place").cast("int").alias("place"), (F.col("start_time") - F.col("before")).alias("idle_ms"))
 

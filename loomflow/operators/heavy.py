@@ -50,7 +50,9 @@ def key_results(
 
 
 def _mentions(expression: Column, column: str) -> bool:
-    return re.search(rf"(?<![\w.]){re.escape(column)}(?![\w.])", str(expression)) is not None
+    """Whether an expression names the column, or may: long ones are printed cut."""
+    written = str(expression)
+    return "..." in written or re.search(rf"(?<![\w.]){re.escape(column)}(?![\w.])", written) is not None
 
 
 def _distinct(df: DataFrame, fields: Sequence[str], column: str, name: str) -> DataFrame:

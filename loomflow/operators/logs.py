@@ -213,17 +213,19 @@ def _started(heads: DataFrame, support: int) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, tokens, regular = (batch.column(i).to_pylist() for i in (5, 6, 7))
+            words, tokens = (batch.column(i).to_pylist() for i in (5, 6))
             rows, names = [], []
             for r in range(batch.num_rows):
-                which = 0 if regular[r] else component.get(_template(tokens[r], frequent)[0])
+                which = component.get(_template(tokens[r], frequent)[0])
                 if which is not None:
                     rows.append(r)
                     names.append(words[r][min(which, len(words[r]) - 1)])
             kept = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns[:5], pa.array(names, pa.string()), kept.column(8)], names=["log", "chunk", "no", "ms", "level", "component", "message"])
 
-    return heads.mapInArrow(assign, "log string, chunk long, no long, ms long, level string, component string, message string")
+    # A layout of one word leaves no choice, so regular heads needn't be looked up.
+    plain = heads.where("regular").select("log", "chunk", "no", "ms", "level", F.get("words", F.lit(0)).alias("component"), "message")
+    return plain.unionByName(heads.where("not regular").mapInArrow(assign, "log string, chunk long, no long, ms long, level string, component string, message string"))
 
 
 _NAME = r"[A-Za-z_$][\w.$-]*"
@@ -379,24 +381,28 @@ def parse_lines(lines: DataFrame, support: int | None = None, with_text: bool =
     """
     base = lines.select(F.col("log_id").cast("string").alias("log"), F.col("line_no").cast("long").alias("no"), F.coalesce(F.col("line").cast("string"), F.lit("")).alias("line"))
     base = base.where("log is not null and no is not null").withColumn("chunk", F.expr(f"no div {CHUNK}"))
-    rows = materialize(base.repartition("log", "chunk").groupBy("log", "chunk", "no").agg(F.max("line").alias("line")), "log-lines")
+    # What a line may be is told once, as it is stored: later passes take theirs without looking at others.
+    line = F.col("line")
+    form = (
+        F.when(line.rlike(r'^\{\s*"|^[A-Za-z_][\w.-]*='), "pairs").when(F.rtrim(line) == "{", "open").when(line.rlike(r'^\s+"[A-Za-z_][\w.-]*"\s*:'), "body")
+        .when(~line.rlike(r"^[\s>]") & (line != ""), "head").otherwise("more")
+    )
+    whole = base.repartition("log", "chunk").groupBy("log", "chunk", "no").agg(F.max("line").alias("line"))
+    rows = materialize(whole.withColumn("form", form), "log-lines")
     least = support or max(3, rows.count() // 2000)
 
-    outer = ~F.col("line").rlike(r"^[\s>]") & (F.col("line") != "")
-    pair_line = F.col("line").rlike(r'^\{\s*"|^[A-Za-z_][\w.-]*=')
-    body_line = F.col("line").rlike(r'^\s+"[A-Za-z_][\w.-]*"\s*:')
-    keyed = rows.where(pair_line | body_line).withColumn("starts", pair_line)
+    keyed = rows.where("form in ('pairs', 'body')").withColumn("starts", F.col("form") == "pairs")
     counts = _key_counts(keyed)
     roles = _roles(counts, least)
 
-    heads = materialize(_heads(rows.where(outer & ~pair_line)), "log-heads")
+    heads = materialize(_heads(rows.where("form = 'head'")), "log-heads")
     started = _started(heads, least).withColumn("kind", F.lit("head"))
 
     valued = _role_values(keyed, counts, roles)
     filled = "starts and ms is not null and level is not null and component is not null or not starts and (ms is not null or level is not null or component is not null or message is not null)"
     paired = valued.where(filled).select("log", "chunk", "no", F.when(F.col("starts"), "head").otherwise("body").alias("kind"), "ms", "level", "component", "message", "ranks")
     nothing = [F.lit(None).cast(k).alias(n) for n, k in (("ms", "long"), ("level", "string"), ("component", "string"), ("message", "string"))]
-    brace = rows.where(F.rtrim("line") == "{").select("log", "chunk", "no", F.lit("open").alias("kind"), *nothing)
+    brace = rows.where("form = 'open'").select("log", "chunk", "no", F.lit("open").alias("kind"), *nothing)
     marks = materialize(started.unionByName(brace).unionByName(paired, allowMissingColumns=True), "log-marks")
 
     # Lines of an object go to the brace before them, across a chunk's border too.

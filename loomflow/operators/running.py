@@ -64,3 +64,17 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
     own = rows.withColumn(out, F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
     joined = _with_carry(own, carry, keys)
     return joined.withColumn(out, F.when(F.col("__first"), F.col("__carry")[value]).otherwise(F.col(out))).drop("__carry", "__range", "__first")
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``df`` with nulls of ``columns`` filled by the last value before them in their key; otherwise as ``running_sum``."""
+    upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if _largest(df, keys) <= LARGEST_GROUP:
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(upto(*keys)) for c in columns})
+    rows = _ranges(df, keys, order)
+    last = rows.groupBy(*keys, "__range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns])
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*keys, "__range", F.struct(*[F.last(c, ignorenulls=True).over(before).alias(c) for c in columns]).alias("__carry"))
+    own = rows.withColumns({c: F.last(c, ignorenulls=True).over(upto(*keys, "__range")) for c in columns})
+    joined = _with_carry(own, carry, keys)
+    return joined.withColumns({c: F.coalesce(c, F.col("__carry")[c]) for c in columns}).drop("__carry", "__range")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomflow.operators.running import carried
 from loomflow.runtime import open_path, ship
 
 #: Bytes of a file that are read at once.
@@ -72,12 +73,9 @@ def read_sequence_files(spark: SparkSession, path: str) -> DataFrame:
 def split_container_log(lines: DataFrame, order: Sequence[str], header: str = r"^Container: (\S+) on (\S+)$", file_header: str = r"^LogType:(\S+)$") -> DataFrame:
     """Splits an aggregated container log: each line with the container, node and log type of the
     headers before it. ``lines`` has ``file``, ``line`` and the ``order`` columns, which
-    number the lines of a file; lines ahead of a header have nulls; header lines are left out."""
-    from pyspark.sql.window import Window
-
-    upto = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    number the lines of a file; lines ahead of a header have nulls; header lines are left out. A file
+    too large for one task is cut into ranges; see ``running``."""
     found = lambda pattern, k: F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, k))
     out = lines.withColumns({"container": found(header, 1), "node": found(header, 2), "log_type": found(file_header, 1)})
     is_header = F.col("line").rlike(header) | F.col("line").rlike(file_header)
-    out = out.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("container", "node", "log_type")})
-    return out.where(~is_header)
+    return carried(out, ["file"], order, ["container", "node", "log_type"]).where(~is_header)

@@ -38,3 +38,16 @@ def test_null_values_carry_over(spark, monkeypatch):
     df = spark.range(60).select(F.lit(1).alias("k"), F.col("id").alias("o"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
     got = {r.o: r.p for r in running.previous(df, ["k"], ["o"], "v", "p").collect()}
     assert got == {i: (None if i == 0 else i - 1 if i % 2 else None) for i in range(60)}
+
+
+@pytest.mark.parametrize("largest", [5_000_000, 100])
+def test_carried_values(spark, monkeypatch, largest):
+    monkeypatch.setattr(running, "LARGEST_GROUP", largest)
+    df = rows(spark).withColumn("a", F.when(F.col("o") % 9 == 0, F.col("o"))).withColumn("b", F.when(F.col("o") % 400 == 7, F.lit("x")))
+    want, last = set(), {}
+    for r in sorted(df.collect(), key=lambda r: r.o):
+        a, b = last.get(r.k, (None, None))
+        last[r.k] = (r.a if r.a is not None else a, r.b if r.b is not None else b)
+        want.add((r.k, r.o, *last[r.k]))
+    got = running.carried(df, ["k"], ["o"], ["a", "b"])
+    assert {(r.k, r.o, r.a, r.b) for r in got.collect()} == want and got.count() == 2000

@@ -174,3 +174,32 @@ def test_prewarm(spark):
     from loomflow.runtime import prewarm
 
     assert prewarm(spark) == 4
+
+
+def test_custom_sink_commits_all_or_nothing(spark, tmp_path):
+    from loomflow.sources import custom
+
+    custom.register(spark)
+    df = spark.range(0, 20, 1, 3).select(F.concat(F.lit("é"), F.col("id")).alias("value"))
+    df.write.format("lines").mode("append").save(f"{tmp_path}/out")
+    df.limit(2).write.format("lines").mode("append").save(f"{tmp_path}/out")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted([f"é{i}" for i in range(20)] + ["é0", "é1"])
+    bad = df.select(F.when(F.col("value") != "é19", F.col("value")).otherwise(F.raise_error(F.lit("no"))).alias("value"))
+    with pytest.raises(Exception, match="no"):
+        bad.write.format("lines").mode("append").save(f"{tmp_path}/none")
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    df.limit(1).write.format("lines").mode("overwrite").save(f"{tmp_path}/out")
+    assert spark.read.text(f"{tmp_path}/out").count() == 1
+
+
+def test_lines_cut_by_ranges(spark, tmp_path, monkeypatch):
+    content = "".join(f"{'x' * (i * 7 % 23)}{i}\n" for i in range(300)) + "last"
+    (tmp_path / "f.txt").write_text(content)
+    want, at = [], 0
+    for line in content.split("\n"):
+        want.append((at, line))
+        at += len(line) + 1
+    for width in (1, 10, 64, 10_000):
+        monkeypatch.setattr(texts, "RANGE_BYTES", width)
+        got = sorted((r.offset, r.line) for r in texts.read_lines_with_offsets(spark, f"{tmp_path}/f.txt").collect())
+        assert got == want
