@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 from loomflow.operators.skew import hot_join
 from loomflow.runtime import materialize
 
-#: Midpoints per group and pass, as a power of two: one pass does so many bisection steps.
-STEPS = 6
+#: Midpoints per group and pass, as a power of two: one pass does so many bisection steps. A group never has more
+#: counts than open rows, so many midpoints cost only groups that have many.
+STEPS = 10
 
 
 def _coarse(score: Column) -> Column:
@@ -127,7 +128,7 @@ def _refine(open_rows: DataFrame, names: Sequence[str], wide: str) -> DataFrame:
     )
     spans = spans.withColumn("__at", F.when(F.col("__lo") == F.col("__hi"), _common_bytes(F.col("__il"), F.col("__ih")) + 1))
     spans = spans.withColumn("__cl", _code(F.col("__il"), F.col("__at"))).withColumn("__ch", _code(F.col("__ih"), F.col("__at")))
-    spans = spans.select(*names, "__lo", "__hi", "__at", "__cl", "__ch", "__rows")
+    spans = materialize(spans.select(*names, "__lo", "__hi", "__at", "__cl", "__ch", "__rows"), "topn-spans")  # read for its sum, the hot and the rest
     parts = 1 << STEPS
 
     def interval(x: Column, lo: Column, hi: Column) -> Column:
