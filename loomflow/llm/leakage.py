@@ -262,7 +262,7 @@ def _passages(shard: _Shard, plan: tuple) -> list[tuple[int, ...]]:
     anchor's postings on, a start is kept while the next anchor's list has the place it must be at.
     """
     item_of, offsets, terms, by_rarest, flat, spans, passage = plan
-    text = np.full(int(shard.lengths.sum()), -1, np.int64)  # the wanted terms' lists, laid out by place
+    text = np.full(int(shard.lengths.sum()), -1, np.int32)  # the wanted terms' lists, laid out by place
     text[shard.begins[shard.doc] + shard.place] = shard.code
     starts: list[np.ndarray] = []
     for row, which in _expanded(shard.code, by_rarest):
