@@ -16,6 +16,8 @@ from loomflow.operators.running import previous, running_sum
 from loomflow.operators.skew import hot_join
 from loomflow.runtime import materialize, ship
 
+#: The defaults of the thresholds below are fixed values: findings have to be the ones that users know
+#: (900 MiB of shuffle; ratios 0.2, 0.4 and 0.6; 10,000 records; half of the time; 1.25 times the mean; 100 s; 1 GiB of output).
 MIB = 1 << 20
 _SHARES = (0.5, 0.75, 0.95, 0.98, 0.99)
 
